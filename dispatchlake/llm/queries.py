@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dispatchlake.llm import simhash
+from dispatchlake.llm import fmindex, simhash, suffix
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -22,3 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @_query
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(suffix.remove_repeats(table(spark, sf_dir, "documents")), "n_bytes")
+
+
+@_query
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(fmindex.remove_earlier_passages(table(spark, sf_dir, "documents")), "n_words")
