@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dispatchlake.llm import fmindex, simhash, suffix
+from dispatchlake.llm import fmindex, mixing, simhash, suffix
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -32,3 +32,8 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digests(fmindex.remove_earlier_passages(table(spark, sf_dir, "documents")), "n_words")
+
+
+@_query
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
