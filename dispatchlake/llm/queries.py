@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dispatchlake.llm import fmindex, mixing, simhash, suffix
+from dispatchlake.llm import fingerprints, fmindex, mixing, simhash, suffix
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -37,3 +37,8 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
