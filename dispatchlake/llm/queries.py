@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dispatchlake.llm import fingerprints, fmindex, mixing, simhash, suffix
+from dispatchlake.llm import fingerprints, fmindex, mixing, simhash, suffix, urlrules, warc
+from dispatchlake.llm.urlrules import Rule
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -42,3 +44,42 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+URL_RULES = [
+    Rule("allow", "org"),
+    Rule("block", "example.org", "/es/"),
+    Rule("block", "example.org", "/en/1"),
+    Rule("allow", "com", "/fr/"),
+    Rule("block", "com", "/de/"),
+]
+
+
+@_query
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+ORACLE["op6_url_filters"] = r"""
+WITH parts AS (
+    SELECT page_id,
+        translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
+    FROM pages
+), rules(verdict, h, p) AS (
+    VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), fits AS (
+    SELECT parts.*, h || p AS rule, verdict FROM parts LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits
+QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS LAST, verdict DESC) = 1
+"""
+
+
+@_query
+def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.derive(warc.responses_from_pages(table(spark, sf_dir, "pages")))
+    return records.select(
+        F.col("key").alias("page_id"), "warc_type", "record_id", "refers_to", "target_uri", "date", "content_type",
+        F.octet_length("block").cast("long").alias("content_length"), "block_digest", "source_payload_digest", F.col("block").cast("string").alias("block"),
+    )
