@@ -133,7 +133,7 @@ def shard_matches(window: int):
     return index
 
 
-def remove_earlier_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
+def remove_earlier_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot: int = HOT, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove every word covered by a `window`-word passage that also starts in a document with a smaller id.
 
     One row per row of `docs`: doc_id, spans (array of start and stop in words, the maximal
@@ -141,8 +141,8 @@ def remove_earlier_passages(docs: DataFrame, window: int = WINDOW, gram: int = G
     Passages are judged on the input. Words are runs of characters other than space and U+0009
     to U+000D, unchanged; a null text has none. Rows with one doc_id never count as smaller than
     each other, so a repeated row stays whole; a null doc_id counts as smaller than any other.
-    Other columns are not read.
+    Other columns are not read, but for those in `carry`, which come along in the struct row.
     """
     symbols = Symbols("words", window, gram)
     covered = repeated(docs, symbols, True, shard_matches(window), shard_bytes, hot)
-    return without(docs, covered, symbols)
+    return without(docs, covered, symbols, carry)

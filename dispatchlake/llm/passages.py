@@ -125,11 +125,11 @@ def twins_of(line: np.ndarray, offsets: np.ndarray, text: np.ndarray, first: np.
     return (count > 1).astype(np.int64)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """Documents by (did, tk): see the module's note."""
+def keyed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Documents by (did, tk): see the module's note; with the columns of `carry` in a struct, row."""
     text = F.coalesce("text", F.lit(""))
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    return docs.select(did.alias("did"), F.xxhash64(text, F.col("doc_id").isNull()).alias("tk"), text.alias("text"))
+    return docs.select(did.alias("did"), F.xxhash64(text, F.col("doc_id").isNull()).alias("tk"), text.alias("text"), *([F.struct(*carry).alias("row")] if carry else []))
 
 
 def _runs(docs: DataFrame, symbols: Symbols, full: bool, twins: bool) -> DataFrame:
@@ -277,14 +277,18 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def without(docs: DataFrame, covered: DataFrame, symbols: Symbols) -> DataFrame:
-    """One row per row of `docs`: doc_id, spans (maximal removed stretches), kept (binary), n (symbols)."""
+def without(docs: DataFrame, covered: DataFrame, symbols: Symbols, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of `docs`: doc_id, spans (maximal removed stretches), kept (binary), n (symbols).
+
+    With columns named in `carry`, those come along in a struct, row, and the text ("" for null)
+    in text.
+    """
+    names, span = ["did", "spans", "kept", "n", *(["text", "row"] if carry else [])], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         for batch in batches:
-            rows, all_spans, all_kept, counts = batch.to_pydict(), [], [], []
-            for text, cover in zip(rows["text"], rows["cover"], strict=True):
+            all_spans, all_kept, counts = [], [], []
+            for text, cover in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 whole = symbols.split(text.encode())
                 spans = merged([(c["a"], c["b"]) for c in cover or ()])
                 kept, at = [], 0
@@ -294,9 +298,10 @@ def without(docs: DataFrame, covered: DataFrame, symbols: Symbols) -> DataFrame:
                 all_kept.append(b"".join(kept) if symbols.name == "bytes" else b" ".join([w for part in kept for w in part]))
                 all_spans.append([{"start": a, "stop": b} for a, b in spans])
                 counts.append(len(whole))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(all_spans, span), pa.array(all_kept, pa.binary()), pa.array(counts, pa.int64())], ["did", "tk", "spans", "kept", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(all_spans, span), pa.array(all_kept, pa.binary()), pa.array(counts, pa.int64()), *([batch.column(1), batch.column(3)] if carry else [])], names)
 
     by_text = covered.groupBy("did", "tk").agg(F.collect_list(F.struct("a", "b")).alias("cover"))
-    rows = keyed(docs).join(by_text, ["did", "tk"], "left").select("did", "tk", "text", "cover")
-    out = rows.mapInArrow(run, "did long, tk long, spans array<struct<start: long, stop: long>>, kept binary, n long")
-    return out.select(F.nullif("did", F.lit(-(2**63))).alias("doc_id"), "spans", "kept", "n")
+    rows = keyed(docs, carry).join(by_text, ["did", "tk"], "left").select("did", "text", "cover", *(["row"] if carry else []))
+    more = f", text string, row {rows.schema['row'].dataType.simpleString()}" if carry else ""
+    out = rows.mapInArrow(run, "did long, spans array<struct<start: long, stop: long>>, kept binary, n long" + more)
+    return out.select(F.nullif("did", F.lit(-(2**63))).alias("doc_id"), *names[1:])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dispatchlake.llm import fingerprints, fmindex, mixing, simhash, suffix, urlrules, warc
+from dispatchlake.llm import fingerprints, fmindex, mixing, quality, simhash, suffix, templates, toxicity, urlrules, warc
 from dispatchlake.llm.urlrules import Rule
 
 QUERIES: dict = {}
@@ -83,3 +83,21 @@ def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("key").alias("page_id"), "warc_type", "record_id", "refers_to", "target_uri", "date", "content_type",
         F.octet_length("block").cast("long").alias("content_length"), "block_digest", "source_payload_digest", F.col("block").cast("string").alias("block"),
     )
+
+
+@_query
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = templates.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    ids = F.transform("items", lambda i: i["item_id"])
+    best = F.array_max(F.transform("items", lambda i: i["covered"] / i["tokens"]))
+    return judged.select("doc_id", F.col("contaminated").cast("int").alias("contaminated"), ids.alias("item_ids"), F.size("items").alias("n_items"), best.alias("best_cover"), F.exists("items", lambda i: ~i["exact"]).alias("reparameterised"))
+
+
+@_query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
