@@ -76,7 +76,9 @@ def draw_slots(sources: DataFrame, block_words: int, shard_blocks: int, cap: int
     counts = rows.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
     counts = counts.join(drawn, ["sid", "shard"], "left").selectExpr("sid", "blocks", "shard", "IF(shard < full, whole, whole_rest) + coalesce(drawn, 0) AS count")
     last = F.sum("count").over(Window.partitionBy("sid").orderBy("shard"))
-    counts = counts.withColumn("last", last).where("count > 0").repartition("sid", "shard")
+    # a few rows become many: dealt to a number of parts that isn't lowered for their present size
+    dealt = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = counts.withColumn("last", last).where("count > 0").repartition(dealt, "sid", "shard")
     slots = counts.select("sid", "blocks", "shard", F.explode(F.sequence(F.col("last") - F.col("count"), F.col("last") - 1)).alias("slot"))
     round_ = F.floor(F.col("slot") / F.col("blocks"))
     return slots.select("sid", "shard", "slot", permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("sid"), round_).alias("block"))
@@ -107,7 +109,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, blo
     first, last = F.floor(F.col("at") / block_words), F.floor((F.col("at") + F.col("size") - 1) / block_words)
     parts = rows.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))))
     overlap = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block_words) - F.greatest(F.col("at"), F.col("block") * block_words)
-    parts = parts.join(taken_blocks, ["sid", "block"], "left").withColumn("took", F.coalesce(overlap * F.col("times"), F.lit(0)))
+    parts = parts.join(taken_blocks.hint("merge"), ["sid", "block"], "left").withColumn("took", F.coalesce(overlap * F.col("times"), F.lit(0)))
     kept = ["sid", "bucket", "nth", "doc_id", "name", "size", "source_size", "target"]
     out = parts.groupBy(*kept).agg(F.sum("took").alias("taken"))
     return out.select("doc_id", F.col("name").alias("source"), "size", "source_size", "target", "taken")
