@@ -102,7 +102,7 @@ SAID_BEFORE = "the address is|the location is|normalized address:|address:|locat
 
 def sanitize(raw: Column) -> Column:
     """A model's answer as one address: without fences, JSON, prefixes, quotes and further sentences."""
-    text = F.trim(F.regexp_replace(_text(raw), "```[a-z]*", ""))
+    text = F.regexp_replace(F.regexp_replace(_text(raw), "```[a-z]*", ""), r"^\s+|\s+$", "")
     keyed = F.coalesce(*[F.try_variant_get(F.try_parse_json(text), f"$.{k}", "string") for k in ("address", "location", "normalized", "result")])
     text = F.when(text.startswith("{"), F.coalesce(keyed, text)).otherwise(text)
     line = F.coalesce(F.try_element_at(F.filter(F.transform(F.split(text, r"\r?\n"), lambda p: F.trim(p)), lambda s: s != ""), F.lit(1)), F.lit(""))
