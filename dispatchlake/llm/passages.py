@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from dispatchlake.llm.common import WordIds, batches_of, cut
 
 HOT = 4000
+#: windows of a run, at most; a longer run is several
+LONGEST = 1000
 _ODD = 0x9E3779B97F4A7C15
 _powers: list[np.ndarray] = []
 
@@ -106,6 +108,12 @@ def runs_of(codes: list[np.ndarray], window: int, gram: int) -> tuple[np.ndarray
     last = np.minimum(last, offsets[text + 1] - window)
     full = last >= first
     first, last, text = first[full], last[full], text[full]
+    # periodic text has runs of any length; cut, so that `HOT` pieces of a bucket stay within memory
+    parts = (last - first) // LONGEST + 1
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    first, last, text = (np.repeat(x, parts) for x in (first, last, text))
+    first = first + nth * LONGEST
+    last = np.minimum(first + LONGEST - 1, last)
     return text, first - offsets[text], last - offsets[text], least[first], offsets, line
 
 

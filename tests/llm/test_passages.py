@@ -60,6 +60,7 @@ def mixed_texts(rng):
             parts += [p, say(rng.randrange(30))]
         texts.append((i, " ".join(parts)))
     texts += [(100, texts[3][1]), (101, texts[3][1]), (102, None), (103, ""), (104, " \n"), (105, "a" * 700), (106, ("same line\n" * 90)), (107, "x" + texts[5][1])]
+    texts += [(108, "ab" * 1600), (109, "u v " * 1300), (110, "w " + "u v " * 1250)]
     return texts + [(3, texts[3][1]), (None, texts[7][1]), (None, None), (55, texts[8][1])]
 
 
