@@ -152,13 +152,16 @@ def cover(hits: list[dict], tokens: int) -> tuple[int, bool]:
     """(tokens of the item covered at one place of the document, at best; word for word or not)."""
     hits = sorted(hits, key=lambda h: (h["pos"], h["at"]))
     places: list[list[dict]] = []
+    near: list[list[dict]] = []
     for h in hits:  # a place: hits whose offset from the item stays about the same
-        for place in reversed(places[-8:]):
-            if abs((h["pos"] - h["at"]) - (place[-1]["pos"] - place[-1]["at"])) <= DRIFT and h["pos"] - place[-1]["pos"] <= tokens:
+        near = [p for p in near if h["pos"] - p[-1]["pos"] <= tokens]
+        for place in reversed(near):
+            if abs((h["pos"] - h["at"]) - (place[-1]["pos"] - place[-1]["at"])) <= DRIFT:
                 place.append(h)
                 break
         else:
             places.append([h])
+            near.append(places[-1])
     best = (0, True)
     for place in places:
         fits = consistent([(h["vals"], h["theirs"]) for h in place])

@@ -36,6 +36,12 @@ def test_slots_must_agree():
     assert templates.consistent([(["80"], ["60"]), (["80", "x"], ["60", "y"]), (["81"], ["60"]), (["80"], ["61"])]) == [True, True, False, False]
 
 
+def test_places_between_others_are_found():
+    hit = lambda pos, at: {"pos": pos, "at": at, "n": 8, "vals": [], "theirs": []}
+    chance = [hit(1, 10 * k) for k in range(20)]
+    assert templates.cover([hit(0, 0), *chance, hit(8, 8)], 200) == (16, True)
+
+
 def test_windows_match_brute_force(spark, make_docs):
     rng = random.Random(1)
     words = [f"{a}{b}" for a in "abcd" for b in "xyzuvw"]
