@@ -75,21 +75,28 @@ def as_text(a: Column) -> Column:
     return F.concat(digits(a["level"]), F.array_join(F.transform(a["hashes"], digits), ""))
 
 
+def _part(bounds: list[int]) -> Column:
+    """How many of the ascending bounds are not beyond doc_id, by binary search; 0 for null."""
+    n, cuts = max(1, len(bounds)), F.lit(bounds or [0]).cast("array<long>")
+    steps = F.lit([1 << k for k in range(n.bit_length() - 1, -1, -1)])
+    beyond = lambda k: (k <= n) & (F.try_element_at(cuts, k) <= F.col("doc_id"))
+    return F.aggregate(steps, F.lit(0), lambda k, step: F.when(F.coalesce(beyond(k + step), F.lit(False)), k + step).otherwise(k))
+
+
 def _followed(docs: DataFrame, parts: int) -> DataFrame:
     """Documents with the text and sketch of the next one in the order of doc_id; the first follows the last.
 
-    Rows are dealt out by quantiles of doc_id. The first row of a part is dealt to the part
-    before it as well, where it only follows the last row.
+    Rows are dealt out by quantiles of doc_id, lowered or raised to the least doc_id of each
+    part. The first row of a part is dealt to the part before it as well, where it only follows
+    the last row.
     """
-    ids = docs.where("doc_id is not null")
+    ids = docs.where("doc_id is not null").select("doc_id")
     wanted = [k / parts for k in range(parts)]
-    bounds = sorted({int(x) for x in ids.select(F.col("doc_id").cast("double")).approxQuantile("doc_id", wanted, 0.2 / parts)})
-    n = max(1, len(bounds))
-    cuts = F.lit(bounds or [0]).cast("array<long>")
-    steps = F.lit([1 << k for k in range(n.bit_length() - 1, -1, -1)])
-    beyond = lambda k: (k <= n) & (F.try_element_at(cuts, k) <= F.col("doc_id"))
-    part = F.aggregate(steps, F.lit(0), lambda k, step: F.when(F.coalesce(beyond(k + step), F.lit(False)), k + step).otherwise(k))
-    rows = docs.withColumn("part", part)
+    near = ids.select(F.col("doc_id").cast("double")).approxQuantile("doc_id", wanted, 0.2 / parts)
+    near = sorted({min(int(x), 2**63 - 1) for x in near})
+    bounds = sorted(r.least for r in ids.groupBy(_part(near)).agg(F.min("doc_id").alias("least")).collect())
+    n, cuts = max(1, len(bounds)), F.lit(bounds or [0]).cast("array<long>")
+    rows = docs.withColumn("part", _part(bounds))
     first = F.coalesce(F.try_element_at(cuts, F.nullif(F.col("part"), F.lit(0))) == F.col("doc_id"), F.lit(False)) if bounds else F.lit(False)
     before = F.when(F.col("part") == 1, F.lit(n)).otherwise(F.col("part") - 1)
     own, copy = F.struct(F.col("part").alias("at"), F.lit(0).alias("copy")), F.struct(before.alias("at"), F.lit(1).alias("copy"))

@@ -64,3 +64,14 @@ def test_odd_rows(spark, make_docs):
     got = fp.fingerprint_edits(make_docs([(1, "one two three four"), (1, "one two three four"), (None, "a b")])).collect()
     assert {(r.doc_id, r.near_next) for r in got} == {(1, 1.0), (None, None)}
     assert fp.fingerprint_edits(make_docs([(5, "abcdefgh")])).first().edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest()
+
+
+def test_ids_beyond_double_precision(spark, make_docs):
+    top = 2**63 - 1
+    rows = [(top - i, f"text {i} " * 5) for i in range(40)] + [(-(2**63), "least")]
+    texts = [t for _, t in sorted(rows)]
+    for parts in (1, 8, 64):
+        got = sorted(fp.fingerprint_edits(make_docs(rows), parts).collect())
+        for k, r in enumerate(got):
+            q, after = len(texts[k]) // 4, texts[(k + 1) % len(texts)]
+            assert r.edited_sha256 == hashlib.sha256((texts[k][: len(texts[k]) - q] + after[:q]).encode()).hexdigest()
