@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dispatchlake.llm import fmindex, mixing, quality, simhash, templates
+from dispatchlake.llm import fmindex, mixing, neardups, quality, templates
 from dispatchlake.llm.common import cut
 
 MIN_QUALITY = 0.3
@@ -19,10 +19,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id."""
-    groups = simhash.near_duplicates(docs)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["_first"]), "left_semi")
+    """Of each group of near-duplicates (five-word shingles, Jaccard similarity of 0.8 or more) one row, that with the smallest id."""
+    return neardups.first_copies(docs)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", keep_quality),
-    ("simhash near-dedup", keep_first_copies),
+    ("near-dedup", keep_first_copies),
     ("substring dedup", cut_passages),
     ("benchmark decontamination", drop_benchmark),
     ("mixing", mix_sources),
