@@ -56,6 +56,18 @@ def gram_hashes(values: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def stretch_hashes(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The hash that `gram_hashes` gives of each stretch of `sizes` values from `starts`."""
+    power, inverse = _power_tables(len(values) + 1)
+    sums = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * power[: len(values)], out=sums[1:])
+    out = (sums[starts + sizes] - sums[starts]) * inverse[starts]
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    out ^= out >> np.uint64(32)
+    return out
+
+
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     """The least of each `width` neighbouring values."""
     out, k = values, 1

@@ -60,6 +60,29 @@ def test_windows_match_brute_force(spark, make_docs):
     assert {(r.did, r.item_id) for r in got} == want and all(r.exact for r in got)
 
 
+@pytest.mark.parametrize("inline", [1000, 0])
+def test_short_items_word_for_word(spark, make_docs, inline):
+    items = [(1, "7 + 8"), (2, "What is 12 times 7?"), (3, "What is the capital city of France today"), (4, "?"), (5, "Paris"), (6, "17 23 40 by 51 60 72 or 88 90 91 in 92"), (7, "+")]
+    docs = [
+        (1, "Add up 7 + 8, then stop."),
+        (2, "Then we asked (What is 12 times 7?) and waited"),
+        (3, "At last we asked What is the capital city of France today and nobody knew"),
+        (4, "At last we asked What is the capital city of Spain today and nobody knew"),
+        (5, "Add up 7 - 8, 7 + 9 and 7 8"),
+        (6, "What is 13 times 7?"),
+        (7, "Then to Paris."),
+        (8, "say 17 23 40 by 51 60 72 or 88 90 91 in 92 again"),
+        (9, "say 17 23 40 by 51 60 72 or 88 90 91 in"),
+        (10, "What is 12 times"),
+        (11, "7? Where now?"),
+    ]
+    got = templates.decontaminate(make_docs(docs), spark.createDataFrame(items, "item_id long, text string"), inline=inline).collect()
+    found = {r.doc_id: [(i.item_id, i.exact) for i in r["items"]] for r in got}
+    plus = [(7, True)]
+    assert found == {1: [(1, True), *plus], 2: [(2, True)], 3: [(3, True)], 4: [(3, False)], 5: plus, 6: [], 7: [(5, True)], 8: [(6, True)], 9: [], 10: [], 11: []}
+    assert all(0 < i.covered <= i.tokens for r in got for i in r["items"])
+
+
 def test_empty_tables(spark, make_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame(ITEMS, "item_id long, text string")
