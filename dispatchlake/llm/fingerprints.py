@@ -1,9 +1,10 @@
 """Document fingerprints: threshold-scaled sketches of word shingles, with DataFrame functions only.
 
-A sketch keeps every shingle hash below a fixed fraction of the hash range, so its size grows
-with the text and two texts of very unequal length can still be compared. So that short texts
-have enough hashes, the smallest `FLOOR` are kept in any case. `level` says up to where a sketch
-is complete; two sketches are compared, or merged, below the lower of their levels.
+A sketch keeps every shingle hash below a fixed fraction of the hash range and no other, so its
+size grows with the text, two texts of very unequal length can be compared, and the sketch of
+two texts together is the union of theirs. Short texts may have no hash below the threshold; so
+a sketch also has a digest of all its shingles, which decides where neither of two sketches
+keeps a hash: such texts are alike only if they have equal shingles.
 """
 
 from __future__ import annotations
@@ -14,9 +15,10 @@ from pyspark.sql import functions as F
 from dispatchlake.llm.common import words_of
 
 SHINGLE = 5
-FRACTION = 16  # one hash in so many
-FLOOR = 128
+FRACTION = 4  # one hash in so many
 RANGE = 2**31
+#: bytes of text that one part of the ordered documents has, about
+PART_BYTES = 32 << 20
 
 
 def shingle_hashes(words: Column, shingle: int = SHINGLE) -> Column:
@@ -26,53 +28,46 @@ def shingle_hashes(words: Column, shingle: int = SHINGLE) -> Column:
     return F.when(F.size(words) > 0, each).otherwise(F.array().cast("array<int>"))
 
 
-def sketch(hashes: Column, fraction: int = FRACTION, floor: int = FLOOR) -> Column:
-    """struct(level, hashes) from ascending distinct hashes."""
-    kept = F.filter(hashes, lambda h, i: (h < F.lit(RANGE // fraction)) | (i < F.lit(floor)))
-    upto = F.greatest(F.lit(RANGE // fraction).cast("long"), F.element_at(hashes, F.lit(floor)).cast("long") + 1)
-    return F.struct(F.when(F.size(hashes) > floor, upto).otherwise(F.lit(RANGE).cast("long")).alias("level"), kept.alias("hashes"))
+def sketch(hashes: Column, fraction: int = FRACTION) -> Column:
+    """struct(digest, hashes) from ascending distinct hashes."""
+    return F.struct(F.xxhash64(hashes).alias("digest"), F.filter(hashes, lambda h: h < F.lit(RANGE // fraction)).alias("hashes"))
 
 
-def with_sketch(df: DataFrame, text: str, name: str, shingle: int = SHINGLE, fraction: int = FRACTION, floor: int = FLOOR) -> DataFrame:
+def with_sketch(df: DataFrame, text: str, name: str, shingle: int = SHINGLE, fraction: int = FRACTION) -> DataFrame:
     """Add the sketch of a text column; a null text has the sketch of an empty one."""
     df = df.withColumn("_words", words_of(F.col(text)))
     df = df.withColumn("_hashes", F.sort_array(F.array_distinct(shingle_hashes(F.col("_words"), shingle))))
-    return df.withColumn(name, sketch(F.col("_hashes"), fraction, floor)).drop("_words", "_hashes")
+    return df.withColumn(name, sketch(F.col("_hashes"), fraction)).drop("_words", "_hashes")
 
 
-def _below(a: Column, level: Column) -> Column:
-    return F.filter(a["hashes"], lambda h: h < level)
-
-
-def _shared(a: Column, b: Column) -> tuple[Column, Column, Column]:
-    """Hashes of both, of the first and of the second below the lower level."""
-    level = F.least(a["level"], b["level"])
-    one, two = _below(a, level), _below(b, level)
-    return F.size(F.array_intersect(one, two)), F.size(one), F.size(two)
+def _unless_bare(estimate: Column, kept: Column, a: Column, b: Column) -> Column:
+    """The estimate where hashes are kept; else 1 for equal digests and 0 for others; null if a sketch is."""
+    bare = F.when(a["digest"] == b["digest"], F.lit(1.0)).when(a.isNotNull() & b.isNotNull(), F.lit(0.0))
+    return F.when(kept > 0, estimate).otherwise(bare)
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Estimated Jaccard similarity of two texts' shingles, from 0 to 1; 1 for two without words."""
-    both, one, two = _shared(a, b)
-    return F.when(one + two > 0, both / (one + two - both)).otherwise(F.when(a.isNotNull() & b.isNotNull(), F.lit(1.0)))
+    both, all_ = F.size(F.array_intersect(a["hashes"], b["hashes"])), F.size(a["hashes"]) + F.size(b["hashes"])
+    return _unless_bare(both / (all_ - both), all_, a, b)
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has too; 1 if a has none."""
-    both, one, _ = _shared(a, b)
-    return F.when(one > 0, both / one).otherwise(F.when(a.isNotNull() & b.isNotNull(), F.lit(1.0)))
+    """Estimated share of a's shingles that b has too, whatever the size of b."""
+    both, own = F.size(F.array_intersect(a["hashes"], b["hashes"])), F.size(a["hashes"])
+    return _unless_bare(both / own, own, a, b)
 
 
 def merged(a: Column, b: Column) -> Column:
-    """The sketch of two texts' shingles together."""
-    level = F.least(a["level"], b["level"])
-    return F.struct(level.alias("level"), F.array_sort(F.array_union(_below(a, level), _below(b, level))).alias("hashes"))
+    """The sketch of two texts' shingles together; its digest is 0 unless theirs are equal."""
+    digest = F.when(a["digest"] == b["digest"], a["digest"]).otherwise(F.lit(0).cast("long"))
+    return F.struct(digest.alias("digest"), F.array_sort(F.array_union(a["hashes"], b["hashes"])).alias("hashes"))
 
 
 def as_text(a: Column) -> Column:
-    """8 hex digits of the level, then of each hash."""
-    digits = lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")
-    return F.concat(digits(a["level"]), F.array_join(F.transform(a["hashes"], digits), ""))
+    """16 hex digits of the digest, then 8 of each hash."""
+    digits = lambda x, n: F.lpad(F.lower(F.hex(x)), n, "0")
+    return F.concat(digits(a["digest"], 16), F.array_join(F.transform(a["hashes"], lambda h: digits(h, 8)), ""))
 
 
 def _part(bounds: list[int]) -> Column:
@@ -83,12 +78,18 @@ def _part(bounds: list[int]) -> Column:
     return F.aggregate(steps, F.lit(0), lambda k, step: F.when(F.coalesce(beyond(k + step), F.lit(False)), k + step).otherwise(k))
 
 
+def _parts(docs: DataFrame, part_bytes: int) -> int:
+    """How many parts documents are dealt to: by the bytes of their texts, and no fewer than there are shuffle partitions."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
+
+
 def _followed(docs: DataFrame, parts: int) -> DataFrame:
     """Documents with the text and sketch of the next one in the order of doc_id; the first follows the last.
 
     Rows are dealt out by quantiles of doc_id, lowered or raised to the least doc_id of each
-    part. The first row of a part is dealt to the part before it as well, where it only follows
-    the last row.
+    part, and each part is one task's. The first row of a part is dealt to the part before it as
+    well, where it only follows the last row.
     """
     ids = docs.where("doc_id is not null").select("doc_id")
     wanted = [k / parts for k in range(parts)]
@@ -103,20 +104,23 @@ def _followed(docs: DataFrame, parts: int) -> DataFrame:
     rows = rows.withColumn("place", F.explode(F.when(first, F.array(own, copy)).otherwise(F.array(own)))).select("doc_id", "text", "own", "place.*")
     order = Window.partitionBy("at").orderBy("copy", "doc_id", "text")
     follows = lambda c: F.when(F.col("doc_id").isNotNull(), F.lead(c).over(order))
+    rows = rows.repartitionById(n + 1, F.col("at").cast("int"))
     return rows.withColumn("next_text", follows("text")).withColumn("next", follows("own")).where("copy = 0").drop("at", "copy")
 
 
-def fingerprint_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
+def fingerprint_edits(docs: DataFrame, parts: int | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
     """One row per row of `docs`: its fingerprint, and that of its text with the last quarter replaced.
 
     The last floor(n_chars / 4) code points give way to the first as many (or all) of the next
     document in ascending doc_id; after the last comes the first. Rows that repeat a doc_id
     follow each other in the order of their texts. A null text is empty. A null doc_id has no
-    next document: its text stays as it is and near_next is null. Only doc_id and text are read.
+    next document: its text stays as it is and near_next is null. An empty table gives an empty
+    result. A text of any length is one row in a task, with 4 bytes for each shingle; parts hold
+    about `part_bytes` of text unless their number is given. Only doc_id and text are read, so
+    other columns may have any name.
     """
-    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = _followed(with_sketch(rows, "text", "own"), parts)
+    rows = _followed(with_sketch(rows, "text", "own"), parts or _parts(rows, part_bytes))
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     whole = F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.col("next_text"), F.lit(1), quarter))

@@ -6,23 +6,21 @@ from dispatchlake.llm import fingerprints as fp
 from pyspark.sql import functions as F
 
 
+def chained(values, seed=42):
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v, seed=seed)
+    return seed
+
+
 def plain_sketch(text):
     words = (text or "").encode().split()
-    hashes = set()
-    for i in range(max(1, len(words) - 4) if words else 0):
-        h = 42
-        for w in words[i : i + 5]:
-            h = xxhash.xxh64_intdigest(w, seed=h)
-        hashes.add(h >> 33)
-    hashes = sorted(hashes)
-    level = max(2**27, hashes[127] + 1) if len(hashes) > 128 else 2**31
-    return level, [h for i, h in enumerate(hashes) if h < 2**27 or i < 128]
+    hashes = sorted({chained(words[i : i + 5]) >> 33 for i in range(max(1, len(words) - 4) if words else 0)})
+    return chained([h.to_bytes(4, "little") for h in hashes]), [h for h in hashes if h < 2**31 // 4]
 
 
 def plain_likeness(a, b):
-    level = min(a[0], b[0])
-    x, y = ({h for h in s[1] if h < level} for s in (a, b))
-    return len(x & y) / len(x | y) if x | y else 1.0
+    x, y = set(a[1]), set(b[1])
+    return len(x & y) / len(x | y) if x | y else float(a[0] == b[0])
 
 
 def test_matches_brute_force(spark, make_docs):
@@ -38,10 +36,11 @@ def test_matches_brute_force(spark, make_docs):
         q = len(t) // 4
         edited = t[: len(t) - q] + after[:q]
         a, b, c = map(plain_sketch, (t, edited, after))
-        text = lambda s: "".join(f"{x:08x}" for x in (s[0], *s[1]))
+        text = lambda s: f"{s[0]:016x}" + "".join(f"{x:08x}" for x in s[1])
         want[d] = (len(t), hashlib.sha256(edited.encode()).hexdigest(), text(a), text(b), plain_likeness(a, b), plain_likeness(a, c))
-    for parts in (1, 7, 200):
-        got = fp.fingerprint_edits(make_docs(rows), parts).collect()
+    docs = make_docs(rows).withColumns({c: F.lit("clash") for c in ("own", "at", "copy", "next", "part", "place", "edited")})
+    for parts in (1, 7, 200, None):
+        got = fp.fingerprint_edits(docs, parts).collect()
         assert len(got) == len(rows)
         for r in got:
             assert tuple(r)[1:5] == want[r.doc_id][:4]
@@ -54,9 +53,29 @@ def test_estimates_are_near(spark):
     long_ = rng.choices(words, k=9000)
     rows = [(" ".join(long_), " ".join(long_[: len(long_) // 20])), (" ".join(long_), " ".join(long_[:4500] + rng.choices(words, k=4500)))]
     df = fp.with_sketch(fp.with_sketch(spark.createDataFrame(rows, "a string, b string"), "a", "x"), "b", "y")
-    one, two = df.select(fp.containment(F.col("y"), F.col("x")).alias("c"), fp.likeness(F.col("x"), F.col("y")).alias("j"), fp.merged(F.col("x"), F.col("y")).alias("m"), "x").collect()
+    one, two = df.select(fp.containment(F.col("y"), F.col("x")).alias("c"), fp.likeness(F.col("x"), F.col("y")).alias("j"), fp.merged(F.col("x"), F.col("y")).alias("m"), "x", "y").collect()
     assert one.c == 1 and abs(two.j - 1 / 3) < 0.06 and abs(one.j - 0.05) < 0.03
-    assert one.m == one.x
+    assert one.m.hashes == one.x.hashes and two.m.hashes == sorted({*two.x.hashes, *two.y.hashes})
+    assert abs(len(two.x.hashes) - 9000 / 4) < 150 and abs(len(one.y.hashes) - 450 / 4) < 35
+
+
+def test_texts_without_a_kept_hash(spark):
+    words = [(f"word{i}",) for i in range(60)]
+    df = fp.with_sketch(spark.createDataFrame(words, "t string"), "t", "s")
+    bare = [r for r in df.collect() if not r.s.hashes]
+    assert 30 < len(bare) < 58
+    a, b = bare[0].t, bare[1].t
+    pairs = spark.createDataFrame([(a, a), (a, b), ("", None), ("", a), (None, None)], "x string, y string")
+    near = fp.with_sketch(fp.with_sketch(pairs, "x", "p"), "y", "q").select(fp.likeness(F.col("p"), F.col("q")).alias("n"), fp.containment(F.col("p"), F.col("q")).alias("c")).collect()
+    assert [(r.n, r.c) for r in near] == [(1, 1), (0, 0), (1, 1), (0, 0), (1, 1)]
+
+
+def test_very_long_text(spark, make_docs):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(1, " ".join(rng.choices(words, k=400_000))), (2, "a b c")]
+    got = {r.doc_id: r for r in fp.fingerprint_edits(make_docs(rows)).collect()}
+    assert got[1].n_chars == len(rows[0][1]) and got[1].fingerprint[16:] == "".join(f"{h:08x}" for h in plain_sketch(rows[0][1])[1])
 
 
 def test_odd_rows(spark, make_docs):
