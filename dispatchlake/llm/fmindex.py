@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from dispatchlake.llm.passages import HOT, Symbols, repeated, without
+from dispatchlake.llm.passages import HOT, SEGMENT, Symbols, repeated, without
 from dispatchlake.llm.suffix import _ranges, _ranks
 
 WINDOW = 50
@@ -41,26 +41,32 @@ class BitVector:
 
 
 class FmIndex:
-    """Backward search over a row of numbers 0..top, valid for patterns up to `depth` long."""
+    """Backward search over a row of numbers 0..top, valid for patterns up to `depth` long.
 
-    def __init__(self, line: np.ndarray, depth: int) -> None:
+    It keeps the Burrows-Wheeler transform as a wavelet tree, where each number starts, and, to
+    tell the least document of an interval, the document of each suffix. Texts and the order of
+    suffixes are needed to build it only: matches are counted and judged, never located.
+    """
+
+    def __init__(self, line: np.ndarray, depth: int, document: np.ndarray | None = None) -> None:
         n, top = len(line), int(line.max())
         rank, h = _ranks(line), 1
         while h < depth and int(rank.max()) < n - 1:
             key = rank * (n + 1)
             key[:-h] += rank[h:] + 1
             rank, h = _ranks(key), 2 * h
-        self.order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank, kind="stable")
         self.size = n
         self.before = np.concatenate(([0], np.cumsum(np.bincount(line, minlength=top + 1))))
         self.levels: list[tuple[BitVector, int]] = []
-        symbols = line[self.order - 1]
+        symbols = line[order - 1]
         for bit in range(max(1, top.bit_length()) - 1, -1, -1):
             bits = (symbols >> bit & 1).astype(bool)
             self.levels.append((BitVector(bits), len(bits) - int(bits.sum())))
             symbols = np.concatenate((symbols[~bits], symbols[bits]))
         every = np.arange(top + 1)
         self.shift = self.before[:-1] - self._down(every, np.zeros(top + 1, dtype=np.int64))
+        self.least = None if document is None else RangeLeast(document[order])
 
     def _down(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         for k, (vector, zeros) in enumerate(self.levels):
@@ -76,20 +82,42 @@ class FmIndex:
 
 
 class RangeLeast:
-    """The least of any stretch of an array, from the least of stretches of each power of two."""
+    """The least of any stretch of an array: by the least up to and from each place in its block, and of runs of whole blocks.
+
+    With blocks of 16 the tables take a small multiple of the array's own size.
+    """
+
+    BLOCK = 16
 
     def __init__(self, values: np.ndarray) -> None:
-        self.rows, k = [values], 1
-        while 2 * k <= len(values):
+        self.values = np.full(-(-len(values) // self.BLOCK) * self.BLOCK, values.max(), dtype=values.dtype)
+        self.values[: len(values)] = values
+        blocks = self.values.reshape(-1, self.BLOCK)
+        self.upto = np.minimum.accumulate(blocks, axis=1).ravel()
+        self.since = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+        self.rows, k = [blocks.min(axis=1)], 1
+        while 2 * k <= len(blocks):
             last = self.rows[-1]
             self.rows.append(np.minimum(last[:-k], last[k:]))
             k *= 2
-        width = len(values)
-        self.table = np.stack([np.concatenate((r, np.full(width - len(r), r[-1] if len(r) else 0, dtype=r.dtype))) for r in self.rows])
 
     def __call__(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        level = np.frexp((hi - lo).astype(np.float64))[1] - 1
-        return np.minimum(self.table[level, lo], self.table[level, hi - (1 << level)])
+        """Of stretches from lo to before hi, none of them empty."""
+        first, last = lo // self.BLOCK, (hi - 1) // self.BLOCK
+        out = np.where(first < last, np.minimum(self.since[lo], self.upto[hi - 1]), self.values[lo])
+        gap = last - first - 1
+        level = np.frexp(np.maximum(gap, 1).astype(np.float64))[1] - 1
+        for k in np.unique(level[gap > 0]).tolist():
+            i = np.flatnonzero((level == k) & (gap > 0))
+            row = self.rows[k]
+            out[i] = np.minimum(out[i], np.minimum(row[first[i] + 1], row[last[i] - (1 << k)]))
+        near = np.flatnonzero((gap < 0) & (hi - lo > 1))
+        for k in range(1, self.BLOCK):
+            near = near[lo[near] + k < hi[near]]
+            if not len(near):
+                break
+            out[near] = np.minimum(out[near], self.values[lo[near] + k])
+        return out
 
 
 def shard_matches(window: int):
@@ -101,9 +129,9 @@ def shard_matches(window: int):
         sizes = np.array([len(r) for r in rows])
         line = np.array([x for r in rows for x in (*r, 0)], dtype=np.int64)
         starts = np.cumsum(sizes + 1) - sizes - 1
-        document = np.unique(dids, return_inverse=True)[1].astype(np.int32)
-        fm = FmIndex(line, window)
-        least = RangeLeast(np.repeat(document, sizes + 1)[fm.order])
+        document = np.unique(dids, return_inverse=True)[1]
+        document = document.astype(np.min_scalar_type(int(document.max())))
+        fm = FmIndex(line, window, np.repeat(document, sizes + 1))
         counts = sizes - window + 1
         cursors = -(-counts // STRIDE)
         piece = np.repeat(np.arange(len(pieces)), cursors)
@@ -116,7 +144,7 @@ def shard_matches(window: int):
             own, active, lacks = document[piece], np.arange(len(at)), np.full(len(at), -1)
             for back in range(window - 1, -1, -1):
                 lo, hi = fm.extend(line[base[active] + back], lo, hi)
-                on = least(lo, hi) < own[active]
+                on = fm.least(lo, hi) < own[active]
                 lacks[active[~on]] = back
                 active, lo, hi = active[on], lo[on], hi[on]
                 if not len(active):
@@ -133,7 +161,7 @@ def shard_matches(window: int):
     return index
 
 
-def remove_earlier_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot: int = HOT, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_earlier_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot: int = HOT, carry: tuple[str, ...] = (), segment: int = SEGMENT) -> DataFrame:
     """Remove every word covered by a `window`-word passage that also starts in a document with a smaller id.
 
     One row per row of `docs`: doc_id, spans (array of start and stop in words, the maximal
@@ -141,8 +169,9 @@ def remove_earlier_passages(docs: DataFrame, window: int = WINDOW, gram: int = G
     Passages are judged on the input. Words are runs of characters other than space and U+0009
     to U+000D, unchanged; a null text has none. Rows with one doc_id never count as smaller than
     each other, so a repeated row stays whole; a null doc_id counts as smaller than any other.
-    Other columns are not read, but for those in `carry`, which come along in the struct row.
+    Long texts are held as symbols `segment` bytes at a time. An empty table gives an empty
+    result. Other columns are not read, but for those in `carry`, which come along in the struct row.
     """
     symbols = Symbols("words", window, gram)
-    covered = repeated(docs, symbols, True, shard_matches(window), shard_bytes, hot)
+    covered = repeated(docs, symbols, True, shard_matches(window), shard_bytes, hot, segment=segment)
     return without(docs, covered, symbols, carry)

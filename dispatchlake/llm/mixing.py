@@ -1,9 +1,12 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 Each source's words stand in a row, document after document, and are packed into blocks of a
-fixed length. Every output shard draws how many of its slots each source gets. A source's slots are numbered over
-all shards; slot j takes, in round j div n, the block at a pseudorandom permutation of j mod n.
-How often a block is taken is joined to the documents' blocks by index.
+fixed length. All slots of the mix are drawn together: a source's slots get places in the mix by
+a pseudorandom permutation of all places, and a shard is a stretch of places. So a shard's
+counts of the sources are a multinomial draw, held to each source's total over all shards. A
+source's slots are numbered; slot j takes, in round j div n, the block at a pseudorandom
+permutation of j mod n of its n blocks. How often a block is taken, and by which shard first, is
+joined to the documents' blocks by index.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ CAP = 3
 BLOCK_WORDS = 128
 SHARD_BLOCKS = 4096
 ROUNDS = 12
+#: slots that one row stands for before they are told apart
+CHUNK = 1 << 16
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -53,63 +58,57 @@ def permuted(index: Column, n: Column, *key: Column) -> Column:
 
 
 def draw_slots(sources: DataFrame, block_words: int, shard_blocks: int, cap: int, seed: int) -> DataFrame:
-    """(sid, shard, slot, block) of every slot; shards have `shard_blocks` slots, the last one the rest.
+    """(sid, shard, place, slot, block) of every slot; shards have `shard_blocks` slots, the last one the rest.
 
-    A source's count in a shard is the whole part of what it is due there and what it gets of
-    the places that all whole parts leave open. Those go to the sources by a pseudorandom
-    permutation of all open places: a multinomial draw, held to each source's total.
+    A source gets as many slots as blocks come nearest to its target. Slots are made in chunks,
+    so a source of any size is spread over the tasks.
     """
-    one = Window.partitionBy()
-    upto = one.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)
+    # one row per source: few, whatever the number of documents
+    upto = Window.partitionBy().orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)
     blocks = F.ceil(F.col("source_size") / block_words)
     due = F.least(F.round(F.col("target") / F.col("source_size") * blocks).cast("long"), cap * blocks)
     rows = sources.where("source_size > 0").select("sid", blocks.alias("blocks"), due.alias("due")).where("due > 0")
-    rows = rows.withColumn("slots", F.sum("due").over(one)).withColumn("size", F.lit(shard_blocks).cast("long"))
-    rows = rows.selectExpr("*", "slots div size AS full", "slots % size AS rest", "size * due div slots AS whole", "(slots % size) * due div slots AS whole_rest")
-    rows = rows.selectExpr("*", "due - full * whole - whole_rest AS own", "full + IF(rest > 0, 1, 0) AS shards")
-    rows = rows.withColumn("open", F.col("size") - F.sum("whole").over(one)).withColumn("open_all", F.sum("own").over(one)).withColumn("upto", F.sum("own").over(upto))
-    rows = cut(rows, "dues")
-    places = rows.where("own > 0").withColumn("place", F.explode(F.sequence(F.col("upto") - F.col("own"), F.col("upto") - 1)))
-    place = permuted(F.col("place"), F.col("open_all"), F.lit(seed), F.lit("open"))
-    places = places.withColumn("place", place).selectExpr("sid", "IF(place < full * open, place div open, full) AS shard")
-    drawn = places.groupBy("sid", "shard").agg(F.count(F.lit(1)).alias("drawn"))
-    counts = rows.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
-    counts = counts.join(drawn, ["sid", "shard"], "left").selectExpr("sid", "blocks", "shard", "IF(shard < full, whole, whole_rest) + coalesce(drawn, 0) AS count")
-    last = F.sum("count").over(Window.partitionBy("sid").orderBy("shard"))
+    rows = rows.withColumn("start", F.sum("due").over(upto) - F.col("due")).withColumn("slots", F.sum("due").over(Window.partitionBy()))
     # a few rows become many: dealt to a number of parts that isn't lowered for their present size
     dealt = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = counts.withColumn("last", last).where("count > 0").repartition(dealt, "sid", "shard")
-    slots = counts.select("sid", "blocks", "shard", F.explode(F.sequence(F.col("last") - F.col("count"), F.col("last") - 1)).alias("slot"))
-    round_ = F.floor(F.col("slot") / F.col("blocks"))
-    return slots.select("sid", "shard", "slot", permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("sid"), round_).alias("block"))
+    chunks = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("due") - 1, F.lit(CHUNK).cast("long")))).repartition(dealt, "sid", "chunk")
+    slots = chunks.withColumn("slot", F.explode(F.sequence("chunk", F.least(F.col("chunk") + CHUNK, "due") - 1)))
+    place = permuted(F.col("start") + F.col("slot"), F.col("slots"), F.lit(seed), F.lit("place"))
+    block = permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("sid"), F.floor(F.col("slot") / F.col("blocks")))
+    return slots.select("sid", "slot", place.alias("place"), block.alias("block")).withColumn("shard", F.floor(F.col("place") / shard_blocks))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = 9) -> DataFrame:
-    """One row per row of `docs`: doc_id, source, size, source_size, target, taken.
+    """One row per row of `docs`: doc_id, source, size, source_size, target, taken, first_shard.
 
     size counts the words of a text (null: 0); taken counts the words that the mix takes,
-    repeats included. No block is taken more than `cap` times. A null source is a source of its
+    repeats included; first_shard is the first output shard that has words of the document, null
+    for none. No block is taken more than `cap` times. A null source is a source of its
     own, the last. Documents of a source follow each other by a hash bucket and then doc_id;
     repeated rows are documents of their own. Empty texts are taken 0 times; if all are empty,
-    all targets are 0. Only doc_id, source and text are read. The same rows give the same mix.
+    all targets are 0. A source that is due less than half a block is not taken. An empty table
+    gives an empty result. Only doc_id, source and text are read. The same rows give the same mix.
     """
     sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie")), "sizes")
     sources = cut(source_targets(sized, weights, cap), "targets")
-    taken_blocks = draw_slots(sources, block_words, shard_blocks, cap, seed).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
+    slots = draw_slots(sources, block_words, shard_blocks, cap, seed)
+    taken_blocks = slots.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"), F.min("shard").alias("shard"))
     # places of the documents in their source: sums of buckets, then of documents in a bucket
     buckets = max(1, round(sized.count() ** 0.5))
     named = sized.withColumn("source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
     keys = sources.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("source"), "sid", F.col("source").alias("name"), "source_size", "target")
     rows = named.join(F.broadcast(keys) if sources.count() <= 10_000 else keys, "source").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(buckets)))
+    # rows that repeat a document share its bucket: one of them stands for all until the places are told
     sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("sum"))
     sums = sums.withColumn("before", F.sum("sum").over(Window.partitionBy("sid").orderBy("bucket")) - F.col("sum")).drop("sum")
+    alike = rows.groupBy("sid", "bucket", "doc_id", "tie", "size", "name", "source_size", "target").agg(F.count(F.lit(1)).alias("copies"))
     order = Window.partitionBy("sid", "bucket").orderBy("doc_id", "tie", "size")
-    rows = rows.join(sums, ["sid", "bucket"])
-    rows = rows.withColumn("nth", F.row_number().over(order)).withColumn("at", F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    at = F.col("before") + F.sum(F.col("size") * F.col("copies")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") * F.col("copies")
+    each = alike.join(sums, ["sid", "bucket"]).withColumn("at", at).withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    each = each.withColumn("at", F.col("at") + F.col("nth") * F.col("size"))
     first, last = F.floor(F.col("at") / block_words), F.floor((F.col("at") + F.col("size") - 1) / block_words)
-    parts = rows.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))))
+    parts = each.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))))
     overlap = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block_words) - F.greatest(F.col("at"), F.col("block") * block_words)
     parts = parts.join(taken_blocks.hint("merge"), ["sid", "block"], "left").withColumn("took", F.coalesce(overlap * F.col("times"), F.lit(0)))
-    kept = ["sid", "bucket", "nth", "doc_id", "name", "size", "source_size", "target"]
-    out = parts.groupBy(*kept).agg(F.sum("took").alias("taken"))
-    return out.select("doc_id", F.col("name").alias("source"), "size", "source_size", "target", "taken")
+    out = parts.groupBy("sid", "at", "nth", "doc_id", "tie", "name", "size", "source_size", "target").agg(F.sum("took").alias("taken"), F.min("shard").alias("first_shard"))
+    return out.select("doc_id", F.col("name").alias("source"), "size", "source_size", "target", "taken", "first_shard")

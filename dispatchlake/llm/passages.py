@@ -4,10 +4,14 @@ A text is a row of symbols (bytes or words). Every window of `window` symbols is
 bucket by the least hash of the grams of `gram` symbols in it, so equal windows share a bucket
 wherever they stand. Neighbouring windows with the same bucket form a run; a run and its symbols
 up to the end of its last window are one piece. Runs whose bucket nothing else shares are left
-out by a count. Runs with equal pieces form a class, of which one goes on; what the class
-members share needs no comparison. Only classes that share a bucket with another class have
-their symbols fetched and compared: in shards of whole buckets, by an index that the caller
-gives, or, for buckets of more than `HOT` classes, by counting hashes of their windows.
+out by a count. Runs with equal pieces form a class. A class goes on as one piece with two
+places, that of its first run and that of its last, however many it has: what is found at the
+last place holds for all but the first. The pieces of a bucket are compared in shards of whole
+buckets by an index that the caller gives; it alone decides which windows stand elsewhere.
+
+A bucket of more than `HOT` classes would be too much for one shard. Its pieces become texts of
+their own and are dealt to buckets anew by longer grams, in the end by whole windows, where only
+equal windows share a bucket.
 
 A document is a row: (did, tk) is its doc_id and a hash of its text. Rows that repeat both are
 documents of their own that stand for each other. A null doc_id counts as smaller than any.
@@ -15,6 +19,7 @@ documents of their own that stand for each other. A null doc_id counts as smalle
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -26,10 +31,16 @@ from pyspark.sql import functions as F
 
 from dispatchlake.llm.common import WordIds, batches_of, cut
 
-HOT = 4000
+#: classes of a bucket that one shard takes, at most; those of a larger bucket are dealt to buckets anew
+HOT = 2000
 #: windows of a run, at most; a longer run is several
 LONGEST = 1000
+#: bytes of a text that are held as symbols at once
+SEGMENT = 1 << 20
+#: bytes of pieces for one task of the comparison, about
+TASK_BYTES = 4 << 20
 _ODD = 0x9E3779B97F4A7C15
+_GAP = re.compile(rb"[ \t-\r]")
 _powers: list[np.ndarray] = []
 
 
@@ -87,10 +98,16 @@ class Symbols:
     window: int
     gram: int
 
-    def codes(self, texts: list[bytes], number: WordIds) -> list[np.ndarray]:
+    @property
+    def grams(self) -> tuple[int, ...]:
+        """Lengths of the grams by which windows are dealt to buckets, then those of hot buckets again."""
+        return self.gram, (self.gram + self.window) // 2, self.window
+
+    def codes(self, rows: list, number: WordIds) -> list[np.ndarray]:
+        """Of texts that `split` has made symbols."""
         if self.name == "bytes":
-            return [_BYTE_CODES[np.frombuffer(t, dtype=np.uint8)] for t in texts]
-        return [number(t.split()) for t in texts]
+            return [_BYTE_CODES[np.frombuffer(t, dtype=np.uint8)] for t in rows]
+        return [number(t) for t in rows]
 
     def split(self, text: bytes):
         return text if self.name == "bytes" else text.split()
@@ -98,6 +115,21 @@ class Symbols:
     def join(self, symbols) -> bytes:
         return bytes(symbols) if self.name == "bytes" else b" ".join(symbols)
 
+    def segments(self, text: bytes, size: int) -> Iterator[tuple[int, bytes | list[bytes]]]:
+        """(place of the first symbol, symbols) of stretches of about `size` bytes: each window is in one of them."""
+        if self.name == "bytes":
+            for at in range(0, max(1, len(text) - self.window + 1), size):
+                yield at, text[at : at + size + self.window - 1]
+            return
+        at, place, held = 0, 0, []
+        while place < len(text):
+            gap = _GAP.search(text, place + size)
+            end = gap.start() if gap else len(text)
+            words = held + text[place:end].split()
+            yield at, words
+            keep = min(len(words), self.window - 1)
+            at, place, held = at + len(words) - keep, end, words[len(words) - keep :]
+
 
 def word_code(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
@@ -120,7 +152,7 @@ def runs_of(codes: list[np.ndarray], window: int, gram: int) -> tuple[np.ndarray
     last = np.minimum(last, offsets[text + 1] - window)
     full = last >= first
     first, last, text = first[full], last[full], text[full]
-    # periodic text has runs of any length; cut, so that `HOT` pieces of a bucket stay within memory
+    # periodic text has runs of any length; cut, so that the pieces of a bucket stay within memory
     parts = (last - first) // LONGEST + 1
     nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
     first, last, text = (np.repeat(x, parts) for x in (first, last, text))
@@ -152,138 +184,130 @@ def keyed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return docs.select(did.alias("did"), F.xxhash64(text, F.col("doc_id").isNull()).alias("tk"), text.alias("text"), *([F.struct(*carry).alias("row")] if carry else []))
 
 
-def _runs(docs: DataFrame, symbols: Symbols, full: bool, twins: bool) -> DataFrame:
+def _runs(texts: DataFrame, symbols: Symbols, gram: int, twins: bool, segment: int) -> DataFrame:
+    """(bucket, cls, did, tk, base, span, twin) of the runs of texts (did, tk, base, text); span is (first window << 32) | last."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, size, window = WordIds(word_code), 8 if symbols.name == "words" else 1, symbols.window
+        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            did, tk = (np.asarray(c) for c in batch.columns[:2])
-            for at, texts in batches_of(batch, 2):
-                text, first, last, bucket, offsets, line = runs_of(symbols.codes(texts, number), window, symbols.gram)
-                twin = twins_of(line, offsets, text, first, last, bucket, window, symbols.gram) if twins else np.zeros(len(text), dtype=np.int64)
-                columns = [pa.array(bucket.view(np.int64)), pa.array(did[at + text]), pa.array(twin)]
-                if full:
-                    raw = memoryview(b"".join(texts)) if size == 1 else memoryview(line.view(np.uint8))
+            did, tk, base = (np.asarray(c) for c in batch.columns[:3])
+            for at, raw in batches_of(batch, 3, segment):
+                whole = len(raw) > 1 or len(raw[0]) <= segment
+                for shift, rows in [(0, [symbols.split(t) for t in raw])] if whole else ((k, [part]) for k, part in symbols.segments(raw[0], segment)):
+                    text, first, last, bucket, offsets, line = runs_of(symbols.codes(rows, number), window, gram)
+                    twin = twins_of(line, offsets, text, first, last, bucket, window, gram) if twins else np.zeros(len(text), dtype=np.int64)
+                    flat = memoryview(b"".join(rows)) if size == 1 else memoryview(line.view(np.uint8))
                     starts = offsets[text]
-                    digest = xxhash.xxh3_64_intdigest
-                    pieces = [digest(raw[a:b]) for a, b in zip(((starts + first) * size).tolist(), ((starts + last + window) * size).tolist(), strict=True)]
-                    span = (first << 32) | last
-                    columns += [pa.array(tk[at + text]), pa.array(np.array(pieces, dtype=np.uint64).view(np.int64)), pa.array(span)]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                    pieces = [digest(flat[a:b]) for a, b in zip(((starts + first) * size).tolist(), ((starts + last + window) * size).tolist(), strict=True)]
+                    span = (first + shift << 32) | (last + shift)
+                    columns = [bucket.view(np.int64), np.array(pieces, dtype=np.uint64).view(np.int64), did[at + text], tk[at + text], base[at + text], span, twin]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names)
 
-    names = ["bucket", "did", "twin", "tk", "cls", "span"] if full else ["bucket", "did", "twin"]
-    return keyed(docs).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    names = ["bucket", "cls", "did", "tk", "base", "span", "twin"]
+    return texts.select("did", "tk", "base", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def _pieces(classes: DataFrame, docs: DataFrame, symbols: Symbols) -> DataFrame:
-    """The symbols of each class, cut from its first document's text."""
+#: a class: its first place, and the document and place of its last run, null for one run (or one document) only
+_CLASS = "bucket long, cls long, c long, did long, place long, tk long, span long, hi long, hi_place long"
+
+
+def _pieces(wanted: DataFrame, texts: DataFrame, symbols: Symbols) -> DataFrame:
+    """The classes of `wanted` with their symbols, cut from their first texts."""
+    names = [c.split()[0] for c in _CLASS.split(", ")]
+    own = [n for n in names if n not in ("did", "tk")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, out = batch.to_pydict(), {n: [] for n in ("bucket", "cls", "n", "c", "did", "tk", "start", "piece")}
-            for did, tk, text, wanted in zip(rows["did"], rows["tk"], rows["text"], rows["wanted"], strict=True):
-                whole = symbols.split(text.encode())
-                for w in wanted:
-                    first, last = w["span"] >> 32, w["span"] & 0xFFFFFFFF
-                    piece = symbols.join(whole[first : last + symbols.window])
-                    for k, v in zip(out, (w["bucket"], w["cls"], w["n"], w["c"], did, tk, first, piece), strict=True):
-                        out[k].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(k, pa.binary() if k == "piece" else pa.int64()) for k in out]))
+            for i in range(batch.num_rows):
+                did, tk, text, rows = (c[i].as_py() for c in batch.columns)
+                whole = symbols.split(text)
+                held = [r | {"did": did, "tk": tk, "piece": symbols.join(whole[r["span"] >> 32 : (r["span"] & 0xFFFFFFFF) + symbols.window])} for r in rows]
+                yield pa.RecordBatch.from_pylist(held, schema=pa.schema([*((n, pa.int64()) for n in names), ("piece", pa.binary())]))
 
-    by_text = classes.groupBy("did", "tk").agg(F.collect_list(F.struct("bucket", "cls", "n", "c", "span")).alias("wanted"))
-    return by_text.join(keyed(docs), ["did", "tk"]).mapInArrow(run, "bucket long, cls long, n long, c long, did long, tk long, start long, piece binary")
+    by_text = wanted.groupBy("did", "tk").agg(F.collect_list(F.struct(*own)).alias("wanted"))
+    found = by_text.join(texts, ["did", "tk"]).select("did", "tk", "text", "wanted").mapInArrow(run, f"{_CLASS}, piece binary")
+    return found.dropDuplicates(["bucket", "cls"])  # rows that repeat a document repeat its classes
 
 
-#: pieces in the order of (did, start), and their did, to the (piece, first, last) window ranges that are found
+#: pieces in the order of their places, and their did, to the (piece, first, last) window ranges that are found
 Index = Callable[[list[bytes], np.ndarray], list[tuple[int, int, int]]]
 
 
-def _in_shards(pieces: DataFrame, index: Index, budget: int) -> DataFrame:
-    """Compare the pieces of each bucket; buckets are gathered until they have `budget` bytes."""
-    names = ["bucket", "cls", "did", "tk", "a", "b", "start"]
+def _in_shards(pieces: DataFrame, index: Index, budget: int, tasks: int) -> DataFrame:
+    """(bucket, cls, nth, a, b) of what is found at the first (nth 0) and last (1) place of each piece.
+
+    Buckets are gathered until they have `budget` bytes.
+    """
 
     def solve(held: list[tuple]) -> pa.RecordBatch:
-        held.sort(key=lambda r: (r[2], r[4]))
-        found = index([r[5] for r in held], np.array([r[2] for r in held], dtype=np.int64))
-        rows = [(*held[k][:4], a, b, held[k][4]) for k, a, b in found]
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+        places = [(r[2], r[3], 0, k) for k, r in enumerate(held)] + [(r[4], r[5], 1, k) for k, r in enumerate(held) if r[4] is not None]
+        places.sort()
+        found = index([held[p[3]][6] for p in places], np.array([p[0] for p in places], dtype=np.int64))
+        rows = [(*held[places[i][3]][:2], places[i][2], a, b) for i, a, b in found]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 5)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, last = [], 0, (None, None)
+        held, size = [], 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:2] == last:  # rows that repeat a document repeat its classes
-                    continue
-                if row[0] != last[0] and size > budget:
+                if held and row[0] != held[-1][0] and size > budget:
                     yield solve(held)
                     held, size = [], 0
-                last = row[:2]
                 held.append(row)
-                size += len(row[5])
+                size += len(row[6]) * (1 if row[4] is None else 2)
         if held:
             yield solve(held)
 
-    dealt = pieces.select("bucket", "cls", "did", "tk", "start", "piece").repartition("bucket").sortWithinPartitions("bucket", "cls")
+    names = ["bucket", "cls", "nth", "a", "b"]
+    dealt = pieces.select("bucket", "cls", "did", "place", "hi", "hi_place", "piece").repartition(tasks, "bucket").sortWithinPartitions("bucket", "cls")
     return dealt.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def _windows(pieces: DataFrame, symbols: Symbols) -> DataFrame:
-    """(bucket, cls, did, tk, start, n, a, hash) of every window of the pieces."""
-    names = ["bucket", "cls", "did", "tk", "start", "n", "a", "hash"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = WordIds(word_code)
-        for batch in batches:
-            own = [np.asarray(c) for c in batch.columns[:6]]
-            hashes = [gram_hashes(c, symbols.window) for c in symbols.codes(batch.column(6).to_pylist(), number)]
-            sizes = [len(h) for h in hashes]
-            at = np.concatenate([np.arange(s) for s in sizes]) if sizes else np.empty(0, dtype=np.int64)
-            line = np.concatenate(hashes) if sizes else np.empty(0, dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(c, sizes)) for c in own), pa.array(at), pa.array(line.view(np.int64))], names)
-
-    return pieces.select(*names[:6], "piece").mapInArrow(run, ", ".join(f"{n} long" for n in names))
-
-
-def repeated(docs: DataFrame, symbols: Symbols, earlier: bool, index: Index, budget: int, hot: int = HOT) -> DataFrame:
+def _found(texts: DataFrame, symbols: Symbols, earlier: bool, first: bool, index: Index, budget: int, hot: int, segment: int, level: int = 0) -> DataFrame:
+    """(did, tk, a, b): ranges of windows, first to last, of the texts that the index finds."""
+    runs = cut(_runs(texts, symbols, symbols.grams[level], not earlier, segment), "runs")
+    shared = runs.groupBy("bucket")
+    shared = shared.agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi") if earlier else shared.agg(F.sum(F.col("twin") + 1).alias("k")).where("k > 1")
+    runs = cut(runs.join(cut(shared.select("bucket"), "shared"), "bucket"), "shared-runs")
+    at = F.struct("did", (F.col("base") + F.shiftright("span", 32)).alias("place"), "tk", "span")
+    classes = runs.groupBy("bucket", "cls").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first"), F.max(at).alias("last"), F.max("twin").alias("twin"))
+    classes = cut(classes.withColumn("more", F.col("last.did") > F.col("first.did") if earlier else F.col("n") > 1), "classes")
+    joint = classes.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"), F.min("first.did").alias("lo"), F.max("last.did").alias("top"), F.max("twin").alias("twin"))
+    joint = cut(joint.where("lo < top" if earlier else "n > 1 or twin > 0").select("bucket", "c"), "joint")
+    hi = [F.when(F.col("more"), F.col(f"last.{c}")).alias(n) for c, n in (("did", "hi"), ("place", "hi_place"))]
+    wanted = cut(classes.join(joint, "bucket").select("bucket", "cls", "c", "first.*", *hi), "wanted")
+    pieces = cut(_pieces(wanted, texts, symbols), "pieces")
+    deepest = level == len(symbols.grams) - 1
+    size = pieces.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
+    tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    found = _in_shards(pieces if deepest else pieces.where(F.col("c") <= hot), index, budget, tasks)
+    crowd = pieces.where(F.col("c") > hot)
+    if not deepest and not crowd.isEmpty():
+        place = lambda nth, did, base: F.struct(F.lit(nth).cast("long").alias("nth"), F.col(did).alias("did"), F.col(base).alias("base"))
+        each = F.explode(F.array_compact(F.array(place(0, "did", "place"), F.when(F.col("hi").isNotNull(), place(1, "hi", "hi_place")))))
+        inner = crowd.select("bucket", "cls", "piece", each.alias("p")).select("bucket", "cls", "p.*", F.col("piece").alias("text"))
+        inner = cut(inner.withColumn("tk", F.xxhash64("bucket", "cls", "nth")), "crowd")
+        deeper = _found(inner.drop("bucket", "cls", "nth"), symbols, earlier, first, index, budget, hot, segment, level + 1)
+        found = found.unionByName(deeper.join(inner.select("did", "tk", "bucket", "cls", "nth"), ["did", "tk"]).select("bucket", "cls", "nth", "a", "b"))
+    # each place of a class has what was found at its first, or at its last one
+    firsts = classes.select("bucket", "cls", F.col("first").alias("f"))
+    found = cut(found.join(firsts, ["bucket", "cls"]), "found")
+    own = F.struct("did", (F.col("base") + F.shiftright("span", 32)).alias("place"), "tk", "span")
+    later = F.col("did") > F.col("f.did") if earlier else own != F.col("f") if first else F.lit(False)
+    hits = runs.join(found, ["bucket", "cls"]).where(F.col("nth") == later.cast("long"))
+    return hits.select("did", "tk", *((F.shiftright("span", 32) + F.col(c)).alias(c) for c in ("a", "b")))
+
+
+def repeated(docs: DataFrame, symbols: Symbols, earlier: bool, index: Index, budget: int, hot: int = HOT, first: bool = False, segment: int = SEGMENT) -> DataFrame:
     """(did, tk, a, b): stretches [a, b) of the documents covered by windows that stand elsewhere too.
 
-    earlier: only windows that stand in a document with a smaller id count.
+    earlier: only windows that stand in a document with a smaller id count. first: what the index
+    finds at the first place of a class holds for that place alone.
     """
-    window = symbols.window
-    shared = _runs(docs, symbols, False, not earlier)
-    if earlier:
-        shared = shared.groupBy("bucket").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select("bucket")
-    else:
-        shared = shared.groupBy("bucket").agg(F.sum(F.col("twin") + 1).alias("k")).where("k > 1").select("bucket")
-    runs = cut(_runs(docs, symbols, True, not earlier).join(shared, "bucket"), "runs")
-    classes = runs.groupBy("bucket", "cls").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("did", "tk", "span")).alias("first"), F.max("did").alias("hi"), F.max("twin").alias("twin"))
-    classes = cut(classes.select("bucket", "cls", "n", "hi", "twin", "first.*"), "classes")
-    # members of a class of several stand for each other
-    many = classes.where("n > 1").select("bucket", "cls", F.col("did").alias("least"))
-    mates = runs.join(many, ["bucket", "cls"])
-    if earlier:
-        mates = mates.where("did > least")
-    ends = lambda a, b: (a.alias("a"), b.alias("b"))
-    start, last = F.shiftright("span", 32), F.col("span").bitwiseAND(0xFFFFFFFF)
-    whole = mates.select("did", "tk", *ends(start, last + window))
-    # classes that share a bucket are compared
-    joint = classes.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("did").alias("lo"), F.max("hi").alias("top"), F.max("twin").alias("twin"))
-    joint = joint.where("c > 1 and lo < top" if earlier else "c > 1 or twin > 0").select("bucket", "c")
-    pieces = cut(_pieces(classes.join(joint, "bucket").select("bucket", "cls", "n", "c", "did", "tk", "span"), docs, symbols), "pieces")
-    found = _in_shards(pieces.where(F.col("c") <= hot), index, budget)
-    crowd = pieces.where(F.col("c") > hot)
-    if not crowd.isEmpty():
-        windows = cut(_windows(crowd.dropDuplicates(["bucket", "cls"]), symbols), "windows")
-        kept = windows.groupBy("bucket", "hash").agg(F.sum("n").alias("all"), F.min("did").alias("lo")).where("all > 1")
-        hit = windows.join(kept, ["bucket", "hash"])
-        hit = hit.where("lo < did") if earlier else hit
-        found = found.unionByName(hit.select("bucket", "cls", "did", "tk", "start", "a", F.col("a").alias("b")))
-    found = cut(found, "found")
-    if earlier:  # a class may stand at several places of its first document
-        at = runs.select("bucket", "cls", "did", "tk", start.alias("start"))
-        found = found.drop("tk", "start").join(at, ["bucket", "cls", "did"])
-    part = found.select("did", "tk", *ends(F.col("start") + F.col("a"), F.col("start") + F.col("b") + window))
-    return whole.union(part)
+    texts = keyed(docs).withColumns({"text": F.col("text").cast("binary"), "base": F.lit(0).cast("long")})
+    hits = _found(texts, symbols, earlier, first, index, budget, hot, segment)
+    return cut(hits.select("did", "tk", "a", (F.col("b") + symbols.window).alias("b")), "covered")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

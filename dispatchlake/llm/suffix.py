@@ -1,10 +1,12 @@
 """Repeated byte strings by longest-previous-factor arrays over suffix-sorted shards.
 
 Each shard holds whole buckets of pieces (see passages.py), in the order of their places in the
-corpus. Its suffixes are sorted by prefix doubling up to the window's length. In suffix order,
-the nearest entries with a smaller place, on either side, give the longest previous factor of a
-suffix: one that still shares a window with it is an earlier copy. The nearest entries with a
-larger place give later copies in the same way.
+corpus. Its suffixes are sorted by prefix doubling up to the window's length, and neighbours'
+common prefixes are told by the ranks on the way. In suffix order, the nearest entries with a
+smaller place on either side share most with a suffix among all earlier ones: what they share is
+its longest previous factor. One as long as the window is an earlier copy. The nearest entries
+with a larger place give the longest later factor in the same way. Removing what has an earlier
+copy keeps the first; removing what has either leaves none.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dispatchlake.llm.passages import HOT, Symbols, repeated, without
+from dispatchlake.llm.passages import HOT, SEGMENT, Symbols, repeated, without
 
 WINDOW = 200
 GRAM = 64
@@ -29,46 +31,54 @@ def _ranks(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_keys(data: np.ndarray, depth: int) -> np.ndarray:
-    """A number for each place: they order suffixes by their first `depth` (8 or more) bytes."""
+def suffix_keys(data: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """A number for each place that orders suffixes by their first `depth` (8 or more) bytes; and (h, ranks by the first h bytes)."""
     key = np.concatenate((data, np.zeros(8, dtype=np.uint8))).astype(np.uint64)
     for shift in (1, 2, 4):
         key = (key[:-shift] << np.uint64(8 * shift)) | key[shift:]
-    key, h = key[: len(data)], 8
+    key, h, ranks = key[: len(data)], 8, [(1, data.astype(np.int32))]
     while h < depth:
         step = min(h, depth - h)  # the last step overlaps
         rank = _ranks(key)
+        ranks.append((h, rank.astype(np.int32)))
         key, h = rank * (int(rank.max()) + 2), h + step
         key[:-step] += rank[step:] + 1
-    return key
+    return key, ranks
 
 
-def nearest_smaller(values: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """For each entry the nearest entry before it in its group with a smaller value, or -1."""
-    at = np.arange(len(values)) - 1
-    open_ = np.flatnonzero(at >= 0)
+def common_prefixes(a: np.ndarray, b: np.ndarray, ranks: list[tuple[int, np.ndarray]], depth: int) -> np.ndarray:
+    """How many bytes, `depth` at most, the suffixes at places a and b share."""
+    n, out = len(ranks[0][1]), np.zeros(len(a), dtype=np.int64)
+    for h, rank in reversed(ranks):
+        for _ in range(1 if h > 8 else 8 // h):
+            x, y = a + out, b + out
+            fits = np.maximum(x, y) + h <= n
+            out += h * (fits & (rank[np.where(fits, x, 0)] == rank[np.where(fits, y, 0)]))
+    return np.minimum(out, depth)
+
+
+def _shared_with_smaller(values: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
+    """What each entry shares with the nearest entry before it that has a smaller value; 0 if that is below `least`.
+
+    common: what an entry shares with the one before it, 0 for the first.
+    """
+    at, low = np.arange(len(values)) - 1, np.where(common >= least, common, 0)
+    open_ = np.flatnonzero(low)
     while len(open_):
-        other = at[open_]
-        left = group[other] != group[open_]
-        at[open_[left]] = -1
-        open_ = open_[~left & (values[other] > values[open_])]
-        at[open_] = at[at[open_]]
-        open_ = open_[at[open_] >= 0]
-    return at
-
-
-def factors(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each of the places (ascending) has an earlier, and a later, place with an equal key."""
-    order = np.argsort(keys[places], kind="stable")
-    along = keys[places][order]
-    group = np.cumsum(np.concatenate(([0], along[1:] != along[:-1]))) if len(along) else np.empty(0, dtype=np.int64)
-    crowded = np.flatnonzero(np.bincount(group, minlength=1)[group] > 1) if len(along) else group
-    entry, group = places[order][crowded], group[crowded]
-    earlier = (nearest_smaller(entry, group) >= 0) | (nearest_smaller(entry[::-1], group[::-1]) >= 0)[::-1]
-    later = (nearest_smaller(-entry, group) >= 0) | (nearest_smaller(-entry[::-1], group[::-1]) >= 0)[::-1]
-    out = np.zeros((2, len(places)), dtype=bool)
-    out[0, order[crowded]], out[1, order[crowded]] = earlier, later
-    return out[0], out[1]
+        open_ = open_[values[at[open_]] > values[open_]]
+        before = at[open_]
+        at[open_], low[open_] = at[before], np.minimum(low[open_], low[before])
+        open_ = open_[low[open_] > 0]
+    return low
+
+
+def longest_factors(places: np.ndarray, common: np.ndarray, least: int = 1) -> np.ndarray:
+    """The longest previous factor of each place, in suffix order; 0 for those shorter than `least`.
+
+    common: what a suffix shares with the one before it. With negated places: the longest later factor.
+    """
+    back = np.concatenate(([0], common[:0:-1]))
+    return np.maximum(_shared_with_smaller(places, common, least), _shared_with_smaller(places[::-1], back, least)[::-1])
 
 
 def _ranges(hit: np.ndarray, piece: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
@@ -83,7 +93,7 @@ def _ranges(hit: np.ndarray, piece: np.ndarray, at: np.ndarray) -> list[tuple[in
 
 
 def shard_repeats(window: int, keep: str):
-    """An index for passages.repeated: windows of a shard's pieces that stand elsewhere in it."""
+    """An index for passages.repeated: windows of a shard's pieces that stand elsewhere in it, or before in it."""
 
     def index(pieces: list[bytes], _: np.ndarray) -> list[tuple[int, int, int]]:
         data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
@@ -92,43 +102,36 @@ def shard_repeats(window: int, keep: str):
         starts = np.cumsum(sizes) - sizes
         at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         piece = np.repeat(np.arange(len(pieces)), counts)
-        earlier, later = factors(suffix_keys(data, window), starts[piece] + at)
-        return _ranges(earlier if keep == "first" else earlier | later, piece, at)
+        keys, ranks = suffix_keys(data, window)
+        order = np.argsort(keys[starts[piece] + at], kind="stable")
+        places = (starts[piece] + at)[order]
+        common = np.concatenate(([0], common_prefixes(places[:-1], places[1:], ranks, window)))
+        hit = np.zeros(len(places), dtype=bool)
+        hit[order] = longest_factors(places, common, window) >= window
+        if keep == "none":
+            hit[order] |= longest_factors(-places, common, window) >= window
+        return _ranges(hit, piece, at)
 
     return index
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot: int = HOT, keep: str = "none", segment: int = SEGMENT) -> DataFrame:
     """Remove every byte covered by a `window`-byte string that also starts anywhere else.
 
     One row per row of `docs`: doc_id, spans (array of start and stop, the maximal removed
-    runs), kept (the remaining bytes), n (bytes of the text). Strings are judged on the input
+    runs), kept (the remaining bytes), n (bytes of the text). keep="first": of equal strings the
+    one at the smallest (doc_id, place) doesn't count. Strings are judged on the input
     and never cross documents; the same document counts as elsewhere. A null text is empty, and
     texts shorter than the window stay whole. Rows that repeat a document stand for each other,
-    so they lose all that the window reaches. Rows with a null doc_id are documents too. Other
-    columns are not read.
+    so they lose all that the window reaches, or keep it all where they are the first. Rows with a null doc_id are documents too, before all
+    others. Long texts are held as symbols `segment` bytes at a time. An empty table gives an
+    empty result. Other columns are not read.
     """
     symbols = Symbols("bytes", window, gram)
-    covered = repeated(docs, symbols, False, shard_repeats(window, "none"), shard_bytes, hot)
+    covered = repeated(docs, symbols, False, shard_repeats(window, keep), shard_bytes, hot, keep == "first", segment)
     return without(docs, covered, symbols)
 
 
-def longest_previous_factors(text: bytes) -> np.ndarray:
-    """The longest-previous-factor array of one short text: the length of the longest earlier copy at each place."""
-    data = np.frombuffer(text, dtype=np.uint8)
-    out = np.zeros(len(data), dtype=np.int64)
-    order = sorted(range(len(text)), key=lambda i: text[i:])
-    places = np.array(order, dtype=np.int64)
-    one = np.zeros(len(places), dtype=np.int64)
-    before, after = nearest_smaller(places, one), nearest_smaller(places[::-1], one)[::-1]
-    for k, place in enumerate(order):
-        for other in (before[k], len(order) - 1 - after[k] if after[k] >= 0 else -1):
-            if other >= 0:
-                a, b = text[place:], text[order[other] :]
-                out[place] = max(out[place], next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b))))
-    return out
-
-
 def digests(removed: DataFrame, count: str) -> DataFrame:
     """What a removal did, in numbers: from the rows of remove_repeats or its like."""
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["stop"] - x["start"])

@@ -3,20 +3,22 @@ import random
 
 import numpy as np
 from dispatchlake.llm import fmindex, passages, suffix
+from pyspark.sql import functions as F
 
 
-def brute_bytes(texts, w):
+def brute_bytes(texts, w, keep="none"):
     seen = {}
-    for d, t in texts:
+    for d, t in sorted(texts, key=lambda r: -1 if r[0] is None else r[0]):
         b = (t or "").encode()
         for i in range(len(b) - w + 1):
-            seen.setdefault(b[i : i + w], []).append((d, i))
+            seen.setdefault(b[i : i + w], []).append((d, t, i))
     out = []
     for d, t in texts:
         b = (t or "").encode()
         gone = bytearray(len(b))
         for i in range(len(b) - w + 1):
-            if len(seen[b[i : i + w]]) > 1:
+            at = seen[b[i : i + w]]
+            if len(at) > 1 and (keep == "none" or at[0] != (d, t, i)):
                 gone[i : i + w] = b"\1" * w
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         spans = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
@@ -67,16 +69,18 @@ def mixed_texts(rng):
 def test_bytes_match_brute_force(spark, make_docs):
     texts = mixed_texts(random.Random(1))
     want = brute_bytes(texts, 200)
-    for hot, shard in ((4000, 1 << 20), (2, 1 << 20), (4000, 1)):
-        got = suffix.digests(suffix.remove_repeats(make_docs(texts), hot=hot, shard_bytes=shard), "n_bytes").collect()
+    docs = make_docs(texts).withColumns({c: F.lit("clash") for c in ("did", "tk", "span", "spans", "kept", "n", "base")})
+    for hot, shard, segment in ((2000, 1 << 20, 1 << 20), (1, 1 << 20, 1 << 20), (2000, 1, 300)):
+        got = suffix.digests(suffix.remove_repeats(docs, hot=hot, shard_bytes=shard, segment=segment), "n_bytes").collect()
         assert sorted(map(tuple, got), key=str) == want
 
 
 def test_words_match_brute_force(spark, make_docs):
     texts = mixed_texts(random.Random(2))
     want = brute_words(texts, 50)
-    for hot, shard in ((4000, 1 << 20), (2, 1 << 20), (4000, 1)):
-        got = suffix.digests(fmindex.remove_earlier_passages(make_docs(texts), hot=hot, shard_bytes=shard), "n_words").drop("n_spans").collect()
+    docs = make_docs(texts).withColumns({c: F.lit("clash") for c in ("did", "tk", "span", "spans", "kept", "n", "base")})
+    for hot, shard, segment in ((2000, 1 << 20, 1 << 20), (1, 1 << 20, 1 << 20), (2000, 1, 300)):
+        got = suffix.digests(fmindex.remove_earlier_passages(docs, hot=hot, shard_bytes=shard, segment=segment), "n_words").drop("n_spans").collect()
         assert sorted(map(tuple, got), key=str) == want
 
 
@@ -85,6 +89,25 @@ def test_empty_tables(spark, make_docs):
     assert fmindex.remove_earlier_passages(make_docs([])).count() == 0
 
 
+def test_first_copies_stay(spark, make_docs):
+    texts = mixed_texts(random.Random(3))
+    want = brute_bytes(texts, 200, "first")
+    for hot in (2000, 1):
+        got = suffix.digests(suffix.remove_repeats(make_docs(texts), hot=hot, keep="first"), "n_bytes").collect()
+        assert sorted(map(tuple, got), key=str) == want
+
+
+def test_very_long_texts(spark, make_docs):
+    rng = random.Random(5)
+    words = rng.choices([f"w{i}" for i in range(5000)], k=400_000)
+    part = " ".join(words[200_000:220_000])
+    texts = [(1, " ".join(words)), (2, f"x {part} y"), (3, "ab " * 30_000)]
+    got = {r.doc_id: r for r in suffix.digests(suffix.remove_repeats(make_docs(texts)), "n_bytes").collect()}
+    assert got[1].n_removed == got[2].n_removed == len(part) + 2 and got[3].n_removed == 90_000
+    got = {r.doc_id: r for r in suffix.digests(fmindex.remove_earlier_passages(make_docs(texts)), "n_words").collect()}
+    assert [got[d].n_removed for d in (1, 2, 3)] == [0, 20_000, 0]
+
+
 def test_backward_search_counts(spark):
     rng = np.random.default_rng(3)
     line = np.concatenate([np.concatenate((rng.integers(1, 6, 40), [0])) for _ in range(8)])
@@ -98,17 +121,37 @@ def test_backward_search_counts(spark):
         assert hi[0] - lo[0] == sum((line[i : i + k] == pattern).all() for i in range(len(line) - k + 1))
 
 
+def test_range_least():
+    rng = np.random.default_rng(6)
+    for n in (1, 5, 16, 17, 300):
+        values = rng.integers(0, 50, n).astype(np.uint8)
+        least = fmindex.RangeLeast(values)
+        lo = rng.integers(0, n, 500)
+        hi = rng.integers(lo, n) + 1
+        assert (least(lo, hi) == [values[a:b].min() for a, b in zip(lo, hi, strict=True)]).all()
+
+
 def test_longest_previous_factors():
-    text = b"abracadabra abra aaaa"
-    got = suffix.longest_previous_factors(text)
-    for i in range(len(text)):
-        longest = 0
-        for j in range(i):
+    rng = np.random.default_rng(7)
+    for data in (rng.integers(1, 4, 300), rng.integers(1, 3, 80), np.tile(rng.integers(1, 5, 37), 6), np.full(60, 9)):
+        data = data.astype(np.uint8)
+        text, depth, every = data.tobytes(), 40, np.arange(len(data))
+        keys, ranks = suffix.suffix_keys(data, depth)
+        order = np.argsort(keys, kind="stable")
+        common = np.concatenate(([0], suffix.common_prefixes(order[:-1], order[1:], ranks, depth)))
+
+        def match(i, j, text=text):
             k = 0
-            while i + k < len(text) and text[i + k] == text[j + k]:
+            while max(i, j) + k < len(text) and k < 40 and text[i + k] == text[j + k]:
                 k += 1
-            longest = max(longest, k)
-        assert got[i] == longest
+            return k
+
+        for sign, others in ((1, lambda i: range(i)), (-1, lambda i, n=len(text): range(i + 1, n))):
+            for least in (1, 12):
+                got = np.zeros(len(data), dtype=int)
+                got[order] = suffix.longest_factors(sign * order, common, least)
+                want = [max((match(i, j) for j in others(i)), default=0) for i in every]
+                assert got.tolist() == [k if k >= least else 0 for k in want]
 
 
 def test_runs_hold_every_window_once():
