@@ -123,7 +123,7 @@ class RangeLeast:
 def shard_matches(window: int):
     """An index for passages.repeated: windows of a shard's pieces that stand in a smaller document of it."""
 
-    def index(pieces: list[bytes], dids: np.ndarray) -> list[tuple[int, int, int]]:
+    def index(pieces: list[bytes], place: np.ndarray, dids: np.ndarray) -> list[tuple[int, int, int]]:
         numbers: dict[bytes, int] = {}
         rows = [[numbers.setdefault(w, len(numbers) + 1) for w in p.split()] for p in pieces]
         sizes = np.array([len(r) for r in rows])
@@ -131,32 +131,35 @@ def shard_matches(window: int):
         starts = np.cumsum(sizes + 1) - sizes - 1
         document = np.unique(dids, return_inverse=True)[1]
         document = document.astype(np.min_scalar_type(int(document.max())))
-        fm = FmIndex(line, window, np.repeat(document, sizes + 1))
-        counts = sizes - window + 1
+        first = np.full(len(pieces), document.max())  # of a piece at two places, the smaller document
+        np.minimum.at(first, place, document)
+        fm = FmIndex(line, window, np.repeat(first, sizes + 1))
+        counts, starts = (sizes - window + 1)[place], starts[place]
         cursors = -(-counts // STRIDE)
-        piece = np.repeat(np.arange(len(pieces)), cursors)
+        own = np.repeat(np.arange(len(place)), cursors)
         at = (np.arange(cursors.sum()) - np.repeat(np.cumsum(cursors) - cursors, cursors)) * STRIDE
-        stop = np.minimum(at + STRIDE, counts[piece])
-        found = np.zeros(len(line), dtype=bool)
+        stop = np.minimum(at + STRIDE, counts[own])
+        windows = np.cumsum(counts) - counts
+        found = np.zeros(counts.sum(), dtype=bool)
         while len(at):
-            base = starts[piece] + at
+            base = starts[own] + at
             lo, hi = np.zeros(len(at), dtype=np.int64), np.full(len(at), fm.size, dtype=np.int64)
-            own, active, lacks = document[piece], np.arange(len(at)), np.full(len(at), -1)
+            mine, active, lacks = document[own], np.arange(len(at)), np.full(len(at), -1)
             for back in range(window - 1, -1, -1):
                 lo, hi = fm.extend(line[base[active] + back], lo, hi)
-                on = fm.least(lo, hi) < own[active]
+                on = fm.least(lo, hi) < mine[active]
                 lacks[active[~on]] = back
                 active, lo, hi = active[on], lo[on], hi[on]
                 if not len(active):
                     break
-            found[base[active]] = True
+            found[(windows[own] + at)[active]] = True
             at = at + lacks + 1
             at[active] += 1
             more = at < stop
-            piece, at, stop = piece[more], at[more], stop[more]
-        place = np.flatnonzero(found)
-        of = np.searchsorted(starts, place, side="right") - 1
-        return _ranges(np.ones(len(place), dtype=bool), of, place - starts[of])
+            own, at, stop = own[more], at[more], stop[more]
+        hit = np.flatnonzero(found)
+        of = np.searchsorted(windows, hit, side="right") - 1
+        return _ranges(np.ones(len(hit), dtype=bool), of, hit - windows[of])
 
     return index
 

@@ -230,8 +230,8 @@ def _pieces(wanted: DataFrame, texts: DataFrame, symbols: Symbols) -> DataFrame:
     return found.dropDuplicates(["bucket", "cls"])  # rows that repeat a document repeat its classes
 
 
-#: pieces in the order of their places, and their did, to the (piece, first, last) window ranges that are found
-Index = Callable[[list[bytes], np.ndarray], list[tuple[int, int, int]]]
+#: pieces; of each place, in the order of places, its piece and its did: to the (place, first, last) window ranges that are found
+Index = Callable[[list[bytes], np.ndarray, np.ndarray], list[tuple[int, int, int]]]
 
 
 def _in_shards(pieces: DataFrame, index: Index, budget: int, tasks: int) -> DataFrame:
@@ -243,7 +243,7 @@ def _in_shards(pieces: DataFrame, index: Index, budget: int, tasks: int) -> Data
     def solve(held: list[tuple]) -> pa.RecordBatch:
         places = [(r[2], r[3], 0, k) for k, r in enumerate(held)] + [(r[4], r[5], 1, k) for k, r in enumerate(held) if r[4] is not None]
         places.sort()
-        found = index([held[p[3]][6] for p in places], np.array([p[0] for p in places], dtype=np.int64))
+        found = index([r[6] for r in held], np.array([p[3] for p in places]), np.array([p[0] for p in places], dtype=np.int64))
         rows = [(*held[places[i][3]][:2], places[i][2], a, b) for i, a, b in found]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 5)], names)
 
@@ -255,7 +255,7 @@ def _in_shards(pieces: DataFrame, index: Index, budget: int, tasks: int) -> Data
                     yield solve(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[6]) * (1 if row[4] is None else 2)
+                size += len(row[6])
         if held:
             yield solve(held)
 

@@ -1,8 +1,8 @@
 """Repeated byte strings by longest-previous-factor arrays over suffix-sorted shards.
 
-Each shard holds whole buckets of pieces (see passages.py), in the order of their places in the
-corpus. Its suffixes are sorted by prefix doubling up to the window's length, and neighbours'
-common prefixes are told by the ranks on the way. In suffix order, the nearest entries with a
+Each shard holds whole buckets of pieces (see passages.py). Its suffixes are sorted up to the
+window's length by ranks of ever longer prefixes, which also tell what neighbours share. A piece
+that stands at two places has two entries for each suffix. In suffix order, the nearest entries with a
 smaller place on either side share most with a suffix among all earlier ones: what they share is
 its longest previous factor. One as long as the window is an earlier copy. The nearest entries
 with a larger place give the longest later factor in the same way. Removing what has an earlier
@@ -32,29 +32,45 @@ def _ranks(keys: np.ndarray) -> np.ndarray:
 
 
 def suffix_keys(data: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """A number for each place that orders suffixes by their first `depth` (8 or more) bytes; and (h, ranks by the first h bytes)."""
+    """A number for each place that orders suffixes by their first `depth` (8 or more) bytes; and (h, ranks by the first h bytes).
+
+    A key is made of as many ranks, of stretches one after the other, as its 63 bits hold.
+    """
     key = np.concatenate((data, np.zeros(8, dtype=np.uint8))).astype(np.uint64)
     for shift in (1, 2, 4):
         key = (key[:-shift] << np.uint64(8 * shift)) | key[shift:]
     key, h, ranks = key[: len(data)], 8, [(1, data.astype(np.int32))]
     while h < depth:
-        step = min(h, depth - h)  # the last step overlaps
         rank = _ranks(key)
         ranks.append((h, rank.astype(np.int32)))
-        key, h = rank * (int(rank.max()) + 2), h + step
-        key[:-step] += rank[step:] + 1
+        top = int(rank.max()) + 2
+        parts = min(max(2, 63 // top.bit_length()), -(-depth // h))
+        reach = min(depth, parts * h)
+        key = rank
+        for part in range(1, parts):
+            at = min(part * h, reach - h)  # the last stretch may overlap
+            key = key * top
+            key[: len(key) - at] += rank[at:] + 1
+        h = reach
     return key, ranks
 
 
-def common_prefixes(a: np.ndarray, b: np.ndarray, ranks: list[tuple[int, np.ndarray]], depth: int) -> np.ndarray:
-    """How many bytes, `depth` at most, the suffixes at places a and b share."""
-    n, out = len(ranks[0][1]), np.zeros(len(a), dtype=np.int64)
+def common_prefixes(keys: np.ndarray, a: np.ndarray, b: np.ndarray, ranks: list[tuple[int, np.ndarray]], depth: int, least: int = 1) -> np.ndarray:
+    """How many bytes, `depth` at most, the suffixes at places a and b share; 0 where that is less than `least`."""
+    n, out = len(ranks[0][1]), np.where(keys[a] == keys[b], depth, 0)
+    if least >= depth:
+        return out
+    rest = np.flatnonzero(out == 0)
+    i, j, upper = a[rest], b[rest], depth
     for h, rank in reversed(ranks):
-        for _ in range(1 if h > 8 else 8 // h):
-            x, y = a + out, b + out
-            fits = np.maximum(x, y) + h <= n
-            out += h * (fits & (rank[np.where(fits, x, 0)] == rank[np.where(fits, y, 0)]))
-    return np.minimum(out, depth)
+        for _ in range(-(-upper // h)):
+            fits = np.maximum(i, j) + h <= n
+            step = h * (fits & (rank[np.where(fits, i, 0)] == rank[np.where(fits, j, 0)]))
+            i, j = i + step, j + step
+        upper = h
+    share = np.minimum(i - a[rest], depth)
+    out[rest] = np.where(share >= least, share, 0)
+    return out
 
 
 def _shared_with_smaller(values: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
@@ -95,22 +111,23 @@ def _ranges(hit: np.ndarray, piece: np.ndarray, at: np.ndarray) -> list[tuple[in
 def shard_repeats(window: int, keep: str):
     """An index for passages.repeated: windows of a shard's pieces that stand elsewhere in it, or before in it."""
 
-    def index(pieces: list[bytes], _: np.ndarray) -> list[tuple[int, int, int]]:
+    def index(pieces: list[bytes], place: np.ndarray, _: np.ndarray) -> list[tuple[int, int, int]]:
         data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
         sizes = np.array([len(p) for p in pieces])
-        counts = sizes - window + 1
-        starts = np.cumsum(sizes) - sizes
-        at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        piece = np.repeat(np.arange(len(pieces)), counts)
         keys, ranks = suffix_keys(data, window)
-        order = np.argsort(keys[starts[piece] + at], kind="stable")
-        places = (starts[piece] + at)[order]
-        common = np.concatenate(([0], common_prefixes(places[:-1], places[1:], ranks, window)))
-        hit = np.zeros(len(places), dtype=bool)
-        hit[order] = longest_factors(places, common, window) >= window
+        # an entry for each window of each place, numbered in the order of the corpus
+        counts = (sizes - window + 1)[place]
+        at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        own = np.repeat(np.arange(len(place)), counts)
+        suffix = (np.cumsum(sizes) - sizes)[place][own] + at
+        order = np.argsort(keys[suffix], kind="stable")
+        along = suffix[order]
+        common = np.concatenate(([0], common_prefixes(keys, along[:-1], along[1:], ranks, window, window)))
+        hit = np.zeros(len(order), dtype=bool)
+        hit[order] = longest_factors(order, common, window) >= window
         if keep == "none":
-            hit[order] |= longest_factors(-places, common, window) >= window
-        return _ranges(hit, piece, at)
+            hit[order] |= longest_factors(-order, common, window) >= window
+        return _ranges(hit, own, at)
 
     return index
 

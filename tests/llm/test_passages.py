@@ -138,7 +138,7 @@ def test_longest_previous_factors():
         text, depth, every = data.tobytes(), 40, np.arange(len(data))
         keys, ranks = suffix.suffix_keys(data, depth)
         order = np.argsort(keys, kind="stable")
-        common = np.concatenate(([0], suffix.common_prefixes(order[:-1], order[1:], ranks, depth)))
+        common = np.concatenate(([0], suffix.common_prefixes(keys, order[:-1], order[1:], ranks, depth)))
 
         def match(i, j, text=text):
             k = 0
