@@ -22,7 +22,7 @@ def training_texts(docs: DataFrame, labels: DataFrame, label: str, sample: int =
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
-    return rows.select("doc_id", "text", F.col("_label").alias("label"))
+    return rows.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("_label").alias("label"))
 
 
 def in_order(rows):
