@@ -2,36 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dispatchlake.scratch import folder
+
 #: A word is a run of characters other than space and U+0009 to U+000D; bytes.split() cuts alike.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
-_local_scratch: dict[str, str] = {}
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _local_scratch:
-        _local_scratch[app] = tempfile.mkdtemp(prefix="dispatchlake-")
-    return _local_scratch[app]
-
 
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write a frame to the shared folder and read it back, so later jobs don't depend on its lineage."""
-    path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

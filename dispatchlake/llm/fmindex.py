@@ -5,17 +5,19 @@ sorted up to a depth beyond the window, and the Burrows-Wheeler transform kept i
 of bit vectors with block counts. The pieces are streamed through it by backward search, many
 at a time: a window is extended to the left while the interval of its suffixes still holds one
 from a document with a smaller id, which a range minimum over the suffixes' documents tells. The
-length reached is its matching statistic. At `window` words the window is reported; below, the
-search goes on with the first window that lacks the word at which it failed.
+length reached is its matching statistic; a stretch of `window` words and more reports all windows
+in it. Where it is less, the search goes on with the first window that lacks the word at which it failed.
 """
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 from pyspark.sql import DataFrame
 
 from dispatchlake.llm.passages import HOT, SEGMENT, Symbols, repeated, without
-from dispatchlake.llm.suffix import _ranges, _ranks
+from dispatchlake.llm.suffix import _ranges, _ranks, longer_keys
 
 WINDOW = 50
 GRAM = 16
@@ -52,9 +54,8 @@ class FmIndex:
         n, top = len(line), int(line.max())
         rank, h = _ranks(line), 1
         while h < depth and int(rank.max()) < n - 1:
-            key = rank * (n + 1)
-            key[:-h] += rank[h:] + 1
-            rank, h = _ranks(key), 2 * h
+            key, h = longer_keys(rank, h, depth)
+            rank = _ranks(key)
         order = np.argsort(rank, kind="stable")
         self.size = n
         self.before = np.concatenate(([0], np.cumsum(np.bincount(line, minlength=top + 1))))
@@ -120,15 +121,30 @@ class RangeLeast:
         return out
 
 
+def _matched(fm: FmIndex, line: np.ndarray, end: np.ndarray, size: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """How many symbols before each end, `size` at most, stand together in a document below the given one: matching statistics."""
+    lo, hi = np.zeros(len(end), dtype=np.int64), np.full(len(end), fm.size, dtype=np.int64)
+    reached, active = np.zeros(len(end), dtype=np.int64), np.arange(len(end))
+    while len(active):
+        lo, hi = fm.extend(line[end[active] - reached[active] - 1], lo, hi)
+        on = fm.least(lo, hi) < below[active]
+        reached[active[on]] += 1
+        on &= reached[active] < size[active]
+        active, lo, hi = active[on], lo[on], hi[on]
+    return reached
+
+
 def shard_matches(window: int):
     """An index for passages.repeated: windows of a shard's pieces that stand in a smaller document of it."""
 
     def index(pieces: list[bytes], place: np.ndarray, dids: np.ndarray) -> list[tuple[int, int, int]]:
-        numbers: dict[bytes, int] = {}
-        rows = [[numbers.setdefault(w, len(numbers) + 1) for w in p.split()] for p in pieces]
+        rows = [p.split() for p in pieces]
         sizes = np.array([len(r) for r in rows])
-        line = np.array([x for r in rows for x in (*r, 0)], dtype=np.int64)
         starts = np.cumsum(sizes + 1) - sizes - 1
+        words = list(chain.from_iterable(rows))
+        number = {w: k for k, w in enumerate(dict.fromkeys(words), 1)}
+        line = np.zeros(len(words) + len(rows), dtype=np.int64)  # a zero ends each piece
+        line[np.arange(len(words)) + np.repeat(np.arange(len(rows)), sizes)] = np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))
         document = np.unique(dids, return_inverse=True)[1]
         document = document.astype(np.min_scalar_type(int(document.max())))
         first = np.full(len(pieces), document.max())  # of a piece at two places, the smaller document
@@ -140,24 +156,21 @@ def shard_matches(window: int):
         at = (np.arange(cursors.sum()) - np.repeat(np.cumsum(cursors) - cursors, cursors)) * STRIDE
         stop = np.minimum(at + STRIDE, counts[own])
         windows = np.cumsum(counts) - counts
-        found = np.zeros(counts.sum(), dtype=bool)
+        edges = np.zeros(counts.sum() + 1, dtype=np.int64)  # where found ranges begin and end
+        whole = np.ones(len(at), dtype=bool)
         while len(at):
-            base = starts[own] + at
-            lo, hi = np.zeros(len(at), dtype=np.int64), np.full(len(at), fm.size, dtype=np.int64)
-            mine, active, lacks = document[own], np.arange(len(at)), np.full(len(at), -1)
-            for back in range(window - 1, -1, -1):
-                lo, hi = fm.extend(line[base[active] + back], lo, hi)
-                on = fm.least(lo, hi) < mine[active]
-                lacks[active[~on]] = back
-                active, lo, hi = active[on], lo[on], hi[on]
-                if not len(active):
-                    break
-            found[(windows[own] + at)[active]] = True
-            at = at + lacks + 1
-            at[active] += 1
+            # all windows of a cursor as one pattern, or, where that failed, its first window
+            size = np.where(whole, stop - 1 - at, 0) + window
+            end = at + size
+            reached = _matched(fm, line, starts[own] + end, size, document[own])
+            full = np.flatnonzero(reached >= window)
+            np.add.at(edges, windows[own[full]] + end[full] - reached[full], 1)
+            np.add.at(edges, windows[own[full]] + end[full] - window + 1, -1)
+            left = end - reached
+            at, stop, whole = np.where(whole, at, np.where(reached >= window, at + 1, left)), np.where(whole, np.minimum(left, stop - 1), stop), ~whole & (reached >= window)
             more = at < stop
-            own, at, stop = own[more], at[more], stop[more]
-        hit = np.flatnonzero(found)
+            own, at, stop, whole = own[more], at[more], stop[more], whole[more]
+        hit = np.flatnonzero(np.cumsum(edges[:-1]) > 0)
         of = np.searchsorted(windows, hit, side="right") - 1
         return _ranges(np.ones(len(hit), dtype=bool), of, hit - windows[of])
 

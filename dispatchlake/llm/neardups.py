@@ -1,14 +1,17 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles, found by a prefix join.
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash links first, then what they can't reach.
 
-A text is the set of its shingles of `SHINGLE` words. Shingles are put in one order for all
-texts: by how often those with the same leading hash bits occur, then by hash. Two sets that
+A text is the set of its shingles of `SHINGLE` words. The covering LSH of simhash.py links texts
+whose fingerprints differ in a few bits; each link is compared by the whole sets. That joins large
+groups of almost equal copies. But at a similarity of 0.8 fingerprints differ in 9 bits on
+average, more than covering masks can be made for, so a prefix join finds the rest: shingles are put in one order for all
+texts, by how often those with the same leading hash bits occur, then by hash. Two sets that
 share at least 0.8 of their union share a shingle among the first n - ceil(0.8 n) + 1 of each,
-so a join on these prefixes misses no pair, whatever the order; the order keeps lines that many
+so no pair is missed, whatever the order; the order keeps lines that many
 texts have out of the prefixes. Every pair that counts is compared by its whole sets.
 
-Texts with equal sets are one. Of the texts under a shingle, the rest are first compared with
+Texts with equal sets are one. Of the texts under a shingle, those not yet in one component are first compared with
 one of them, so a large group of near copies is linked without all of its pairs; then all pairs
-that are not yet in one component are.
+that are still not in one component are.
 """
 
 from __future__ import annotations
@@ -18,20 +21,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dispatchlake.llm.common import WordIds, batches_of, cut
 from dispatchlake.llm.graph import components
 from dispatchlake.llm.passages import gram_hashes, keyed, word_code
+from dispatchlake.llm import simhash
 
 SHINGLE = 5
 #: a link has this share of the union in common, at least: a fraction, so that no rounding decides
 SHARE = (4, 5)
 #: leading hash bits by which occurrences are counted; they only order shingles
-BITS = 18
+BITS = 16
 #: rounds in which the texts under a shingle are compared with one of them only
-ROUNDS = 2
+ROUNDS = 1
+#: sets that a task remembers, so that copies of a text are listed once by it
+REMEMBERED = 500_000
 #: keys up to this number are broadcast; more are joined by a shuffle
 BROADCAST = 500_000
 
@@ -43,48 +49,71 @@ def shingles(codes: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     return np.unique(gram_hashes(codes, min(k, len(codes))))
 
 
-def shingle_sets(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(did, tk, node, n, hashes): the shingles of each row and a hash of all of them. Null text counts as empty."""
+def _sets(batch: pa.RecordBatch, text: int, number: WordIds, k: int) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
+    """(first row, sets, hashes of the sets) of slices of a batch. Null text counts as empty."""
+    for at, texts in batches_of(batch, text):
+        sets = [shingles(number(t.lower().split()), k) for t in texts]
+        yield at, sets, np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
+
+
+def _marks(texts: DataFrame, k: int = SHINGLE, bits: int = BITS) -> tuple[DataFrame, np.ndarray]:
+    """(did, tk, node, fp) of each row, its set's hash and fingerprint; and how often shingles with each leading bits occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = WordIds(word_code)
+        number, counts = WordIds(word_code), np.zeros(1 << bits, dtype=np.int64)
         for batch in batches:
-            for at, texts in batches_of(batch, 2):
-                sets = [shingles(number(t.lower().split()), k) for t in texts]
-                sizes = np.array([len(s) for s in sets], dtype=np.int32)
-                nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
-                flat = np.concatenate(sets).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat))
-                keys = [c.slice(at, len(texts)) for c in batch.columns[:2]]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(nodes), pa.array(sizes), lists], ["did", "tk", "node", "n", "hashes"])
-
-    return keyed(docs).mapInArrow(run, "did long, tk long, node long, n int, hashes array<long>")
+            for at, sets, nodes in _sets(batch, 2, number, k):
+                counts += np.bincount(np.concatenate(sets) >> np.uint64(64 - bits), minlength=1 << bits)
+                fps = np.array([simhash.majority(s) for s in sets], dtype=np.uint64).view(np.int64)
+                keys = [c.slice(at, len(sets)) for c in batch.columns[:2]]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(nodes), pa.array(fps), pa.nulls(len(sets), pa.list_(pa.int64()))], names)
+        yield pa.RecordBatch.from_arrays([*(pa.array([0], pa.int64()) for _ in range(4)), pa.array([counts], pa.list_(pa.int64()))], names)
+
+    names = ["did", "tk", "node", "fp", "counts"]
+    rows = cut(texts.mapInArrow(run, "did long, tk long, node long, fp long, counts array<long>"), "marks")
+    each = rows.where("counts is not null").select(F.posexplode("counts").alias("cell", "n")).groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.zeros(1 << bits, dtype=np.int64)
+    seen[each.column("cell").to_numpy()] = each.column("n").to_numpy()
+    return rows.where("counts is null").drop("counts"), seen
+
+
+def _prefixes(texts: DataFrame, seen: np.ndarray, k: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """(h, node, n, pos): the first shingles of each set, as many as a near-duplicate must share one of; equal rows may repeat."""
+    p, q = SHARE
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, known = WordIds(word_code), set()
+        for batch in batches:
+            for _, sets, nodes in _sets(batch, 2, number, k):
+                known = known if len(known) < REMEMBERED else set()
+                new = [i for i, x in enumerate(nodes.tolist()) if x not in known and not known.add(x)]
+                if not new:
+                    continue
+                n = np.array([len(sets[i]) for i in new], dtype=np.int32)
+                flat, row = np.concatenate([sets[i] for i in new]), np.repeat(np.arange(len(new)), n)
+                order = np.lexsort((flat, seen[flat >> np.uint64(64 - bits)], row))
+                pos = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+                first = pos < np.repeat(n - (p * n + q - 1) // q + 1, n)
+                columns = [flat[order][first].view(np.int64), nodes[new][row[first]], n[row[first]], pos[first].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["h", "node", "n", "pos"])
 
-def _occurrences(sets: DataFrame, bits: int = BITS) -> np.ndarray:
-    """How often shingles with each leading `bits` hash bits occur."""
-    each = sets.select(F.explode("hashes").alias("h")).groupBy(F.shiftrightunsigned("h", 64 - bits).alias("h")).count().toArrow()
-    out = np.zeros(1 << bits, dtype=np.int64)
-    out[each.column("h").to_numpy()] = each.column("count").to_numpy()
-    return out
+    return texts.mapInArrow(run, "h long, node long, n int, pos int")
 
 
-def _prefixes(sets: DataFrame, seen: np.ndarray, bits: int = BITS) -> DataFrame:
-    """(h, node, n, pos): the first shingles of each set, as many as a near-duplicate must share one of."""
-    p, q = SHARE
+def _sets_of(nodes: DataFrame, marks: DataFrame, texts: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """(node, hashes) of some nodes, each from the text of one of its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = WordIds(word_code)
         for batch in batches:
-            node, n = (np.asarray(c) for c in batch.columns[:2])
-            lists = batch.column(2)
-            flat, places = lists.flatten().to_numpy(), np.asarray(lists.offsets) - lists.offsets[0].as_py()
-            order = np.lexsort((flat, seen[flat.view(np.uint64) >> np.uint64(64 - bits)], np.repeat(np.arange(len(n)), np.diff(places))))
-            pos = np.arange(len(flat)) - np.repeat(places[:-1], np.diff(places))
-            first = pos < np.repeat(n - (p * n + q - 1) // q + 1, np.diff(places))
-            own = np.repeat(np.arange(len(n)), np.diff(places))[first]
-            yield pa.RecordBatch.from_arrays([pa.array(flat[order][first]), pa.array(node[own]), pa.array(n[own]), pa.array(pos[first].astype(np.int32))], ["h", "node", "n", "pos"])
+            for _, sets, nodes in _sets(batch, 2, number, k):
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), lists], ["node", "hashes"])
 
-    return sets.select("node", "n", "hashes").mapInArrow(run, "h long, node long, n int, pos int")
+    rows = marks.join(nodes, "node").groupBy("node").agg(F.min(F.struct("did", "tk")).alias("r")).select("r.*")
+    rows = cut(rows, "wanted")
+    held = texts.join(F.broadcast(rows) if rows.count() <= BROADCAST else rows, ["did", "tk"], "left_semi")
+    return cut(held.mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node"]), "sets")
 
 
 def _may_link(a: str, b: str):
@@ -115,17 +144,33 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "x long, y long")
 
 
-def near_links(sets: DataFrame) -> DataFrame:
+def _alike(marks: DataFrame, radius: int) -> DataFrame:
+    """(x, y): nodes that SimHash links, as pairs that connect them."""
+    nodes = marks.groupBy("fp", "node").agg(F.count(F.lit(1)))
+    firsts = cut(nodes.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
+    equal = nodes.join(firsts, "fp").where("node <> first").select(F.col("first").alias("x"), F.col("node").alias("y"))
+    links = simhash.near_links(firsts.select("fp"), radius)
+    side = lambda c: firsts.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node"))
+    near = links.join(side("x"), "x").join(side("y"), "y").select(F.col("x_node").alias("x"), F.col("y_node").alias("y"))
+    return equal.union(near).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
+def near_links(texts: DataFrame, marks: DataFrame, seen: np.ndarray, radius: int = simhash.RADIUS) -> DataFrame:
     """(node, root): the components of the distinct sets linked by a Jaccard similarity of at least `SHARE`."""
-    members = cut(_prefixes(sets, _occurrences(sets)), "prefixes")
-    shared = members.groupBy("h").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).where("_a < _b").select("h")
-    members = cut(members.join(shared, "h").dropDuplicates(["h", "node"]), "shared")
-    nodes = cut(members.select("node").distinct(), "nodes")
-    few = nodes.count() <= BROADCAST
-    sets = cut(sets.select("node", "hashes").join(F.broadcast(nodes) if few else nodes, "node").dropDuplicates(["node"]), "sets")
-    rooted = members.withColumn("root", F.col("node"))
-    edges = sets.select(F.col("node").alias("x"), F.col("node").alias("y")).limit(0)
+    alike = cut(_alike(marks, radius), "alike")
+    # of each shingle the sets that have it in their prefix, if they are two or more
+    by = Window.partitionBy("h").orderBy("n", "node")
+    rows = _prefixes(texts, seen).withColumn("again", F.lag("node").over(by) == F.col("node")).where("again is null or not again")
+    members = rows.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("k > 1").select("h", "node", "n", "pos")
+    members = cut(members, "shared")
+    nodes = members.select("node").union(alike.select("x")).union(alike.select("y")).distinct()
+    sets = _sets_of(nodes, marks, texts)
+    edges = cut(_verified(alike, sets), "links")
+    roots = cut(components(edges), "roots")
     for turn in range(ROUNDS + 1):
+        rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        open_ = rooted.groupBy("h").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("h")
+        rooted = cut(rooted.join(open_, "h"), "open")
         if turn < ROUNDS:
             one = rooted.groupBy("h").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "pos", "root")).alias("m")).select("h", "m.*")
         else:
@@ -134,26 +179,24 @@ def near_links(sets: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("a.node", "b.node").alias("x"), F.greatest("a.node", "b.node").alias("y")).distinct()
         edges = cut(edges.union(_verified(pairs, sets)), "links")
         roots = cut(components(edges), "roots")
-        if turn == ROUNDS:
-            return roots
-        rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = rooted.groupBy("h").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("h")
-        rooted = cut(rooted.join(open_, "h"), "open")
+    return roots
 
 
-def first_copies(docs: DataFrame) -> DataFrame:
+def first_copies(docs: DataFrame, radius: int = simhash.RADIUS) -> DataFrame:
     """One row of each group of near-duplicates: the one with the smallest doc_id.
 
     Groups are the components over pairs with a Jaccard similarity of at least `SHARE` between
     their sets of `SHINGLE`-word shingles (words in lower case, as in op3). Null texts and texts
     without words are one group. Of rows that repeat both doc_id and text one stays; a null
-    doc_id counts as smaller than any. All columns of `docs` are kept.
+    doc_id counts as smaller than any. All columns of `docs` are kept, whatever their names. A
+    text of any length is one row in a task, at about 100 bytes a word. An empty table gives an
+    empty result.
     """
-    sets = cut(shingle_sets(docs), "shingles")
-    roots = near_links(sets)
-    rows = sets.select("did", "tk", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = rows.groupBy("root").agg(F.min(F.struct("did", "tk")).alias("f")).select(F.col("f.did").alias("_did"), F.col("f.tk").alias("_tk"))
-    first = cut(first, "first")
     text = F.coalesce(docs["text"], F.lit(""))
-    own = docs.withColumns({"_did": F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))), "_tk": F.xxhash64(text, docs["doc_id"].isNull())})
-    return own.join(first, ["_did", "_tk"], "left_semi").dropDuplicates(["_did", "_tk"]).select(*docs.columns)
+    own = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))).alias("did"), F.xxhash64(text, docs["doc_id"].isNull()).alias("tk"), F.struct("*").alias("row"))
+    texts = keyed(docs)
+    marks, seen = _marks(texts)
+    roots = near_links(texts, marks, seen, radius)
+    rows = marks.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = cut(rows.groupBy("root").agg(F.min(F.struct("did", "tk")).alias("f")).select("f.*"), "first")
+    return own.join(first, ["did", "tk"], "left_semi").dropDuplicates(["did", "tk"]).select("row.*")

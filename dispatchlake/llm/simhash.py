@@ -44,7 +44,12 @@ def simhash(text: bytes, shingle: int = 3) -> int:
         starts = np.concatenate(([0], ends[:-1]))[: len(words) - shingle + 1].tolist()
         digest = xxhash.xxh64_intdigest
         hashes = [digest(line[s:e], 42) for s, e in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)]
-    octets = np.array(hashes, dtype=np.uint64).view(np.uint8).reshape(-1, 8) + _OFFSETS
+    return majority(np.array(hashes, dtype=np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
+    octets = hashes.view(np.uint8).reshape(-1, 8) + _OFFSETS
     counts = np.bincount(octets.ravel(), minlength=2048).reshape(8, 256) @ _BITS
     return int(np.packbits((2 * counts > len(hashes)).ravel(), bitorder="little").view(np.uint64)[0])
 

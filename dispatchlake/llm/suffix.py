@@ -31,11 +31,23 @@ def _ranks(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_keys(data: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """A number for each place that orders suffixes by their first `depth` (8 or more) bytes; and (h, ranks by the first h bytes).
+def longer_keys(rank: np.ndarray, h: int, depth: int) -> tuple[np.ndarray, int]:
+    """Keys that order suffixes by more than the first h symbols, of which `rank` tells the order; and by how many, `depth` at most.
 
     A key is made of as many ranks, of stretches one after the other, as its 63 bits hold.
     """
+    top = int(rank.max()) + 2
+    parts = min(max(2, 63 // top.bit_length()), -(-depth // h))
+    reach, key = min(depth, parts * h), rank
+    for part in range(1, parts):
+        at = min(part * h, reach - h)  # the last stretch may overlap
+        key = key * top
+        key[: len(key) - at] += rank[at:] + 1
+    return key, reach
+
+
+def suffix_keys(data: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """A number for each place that orders suffixes by their first `depth` (8 or more) bytes; and (h, ranks by the first h bytes)."""
     key = np.concatenate((data, np.zeros(8, dtype=np.uint8))).astype(np.uint64)
     for shift in (1, 2, 4):
         key = (key[:-shift] << np.uint64(8 * shift)) | key[shift:]
@@ -43,15 +55,7 @@ def suffix_keys(data: np.ndarray, depth: int) -> tuple[np.ndarray, list[tuple[in
     while h < depth:
         rank = _ranks(key)
         ranks.append((h, rank.astype(np.int32)))
-        top = int(rank.max()) + 2
-        parts = min(max(2, 63 // top.bit_length()), -(-depth // h))
-        reach = min(depth, parts * h)
-        key = rank
-        for part in range(1, parts):
-            at = min(part * h, reach - h)  # the last stretch may overlap
-            key = key * top
-            key[: len(key) - at] += rank[at:] + 1
-        h = reach
+        key, h = longer_keys(rank, h, depth)
     return key, ranks
 
 

@@ -328,18 +328,26 @@ def matches(docs: DataFrame, benchmark: DataFrame, inline: int = INLINE, whole:
     return shared.mapInArrow(run, "did long, tk long, item_id long, tokens long, covered long, exact boolean")
 
 
+def judge(docs: DataFrame, benchmark: DataFrame, inline: int = INLINE) -> DataFrame:
+    """(row, contaminated, items) of every row of `docs`: row has all its columns, for the others see `decontaminate`."""
+    found = matches(docs, benchmark, inline, whole=True).where((F.col("covered") >= COVER * F.col("tokens")) | (F.col("covered") >= COVER_TOKENS))
+    items = found.groupBy("did", "tk").agg(F.sort_array(F.collect_set(F.struct("item_id", "tokens", "covered", "exact"))).alias("items"))
+    text = F.coalesce(docs["text"], F.lit(""))
+    rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))).alias("did"), F.xxhash64(text, docs["doc_id"].isNull()).alias("tk"), F.struct("*").alias("row"))
+    rows = rows.join(items, ["did", "tk"], "left")
+    return rows.select("row", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast(items.schema["items"].dataType)).alias("items"))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, inline: int = INLINE) -> DataFrame:
-    """Every row of `docs`, all its columns, with contaminated (boolean) and items (what contaminates it).
+    """Every row of `docs` with contaminated (boolean) and items (what contaminates it).
 
-    items is an array of structs item_id, tokens, covered, exact, ascending; exact is false where
+    Columns of `docs` with those two names give way to the result; `judge` keeps them, in a
+    struct. items is an array of structs item_id, tokens, covered, exact, ascending; exact is false where
     numbers, names or units differ. Items with fewer than `LITERALS` tokens that are no
     placeholders can't be told from chance with other numbers and names, so they match word for
-    word only; a null or empty text matches nothing. Rows that repeat a document are judged alike.
+    word only; a null or empty text matches nothing. Rows that repeat a document are judged
+    alike. A text of any length is one row in a task, at about 100 bytes a word. Without
+    benchmark items nothing is contaminated; an empty table gives an empty result.
     """
-    found = matches(docs, benchmark, inline, whole=True).where((F.col("covered") >= COVER * F.col("tokens")) | (F.col("covered") >= COVER_TOKENS))
-    items = found.groupBy("did", "tk").agg(F.sort_array(F.collect_set(F.struct("item_id", "tokens", "covered", "exact"))).alias("_items"))
-    text = F.coalesce(docs["text"], F.lit(""))
-    rows = docs.withColumns({"_did": F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))), "_tk": F.xxhash64(text, docs["doc_id"].isNull())})
-    rows = rows.join(items.withColumnsRenamed({"did": "_did", "tk": "_tk"}), ["_did", "_tk"], "left")
-    kept = [c for c in docs.columns if c not in ("contaminated", "items")]
-    return rows.select(*kept, F.col("_items").isNotNull().alias("contaminated"), F.coalesce("_items", F.array().cast(items.schema["_items"].dataType)).alias("items"))
+    kept = [f"row.`{c}`" for c in docs.columns if c not in ("contaminated", "items")]
+    return judge(docs, benchmark, inline).select(*kept, "contaminated", "items")
