@@ -12,44 +12,52 @@ MIN_QUALITY = 0.3
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject; null and empty texts have a score too, rows that repeat one stay as often."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     score = quality.scorer(*quality.train(docs, labels))
-    return docs.withColumn("_score", score(F.col("text"))).where(F.col("_score") >= MIN_QUALITY).drop("_score")
+    return docs.where(score(F.col("text")) >= MIN_QUALITY)
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, Jaccard similarity of 0.8 or more) one row, that with the smallest id."""
+    """Of each group of near-duplicates (five-word shingles, Jaccard similarity of 0.8 or more) one row, that with the smallest id.
+
+    Texts without words, null ones included, are one group; of rows that repeat a document one stays.
+    """
     return neardups.first_copies(docs)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that stand in earlier ones; those of which nothing is left go."""
-    carried = tuple(c for c in docs.columns if c != "text")
-    done = fmindex.remove_earlier_passages(docs.withColumn("_null", F.col("text").isNull()), carry=(*carried, "_null"))
+    """Documents without the passages that stand in earlier ones; those of which nothing is left go.
+
+    Texts that had no words from the start stay as they are, null ones too, and so do rows that
+    repeat an id. Of a changed text, n_chars is counted anew.
+    """
+    others = [c for c in docs.columns if c != "text"]
+    held = F.struct(F.col("text").isNull().alias("none"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)))
+    done = fmindex.remove_earlier_passages(docs.select("doc_id", "text", held.alias("held")), carry=("held",))
     done = done.where(~((F.col("n") > 0) & (F.octet_length("kept") == 0)))
-    changed = F.size("spans") > 0
-    text = F.when(changed, F.col("kept").cast("string")).when(~F.col("row._null"), F.col("text"))
-    fields = {c: F.col(f"row.{c}") for c in carried} | {"text": text}
+    changed, kept = F.size("spans") > 0, F.col("kept").cast("string")
+    fields = {c: F.col(f"row.held.c{i}") for i, c in enumerate(others)}
+    fields["text"] = F.when(changed, kept).when(~F.col("row.held.none"), F.col("text"))
     if "n_chars" in fields:
-        fields["n_chars"] = F.when(changed, F.length(text).cast("long")).otherwise(F.col("row.n_chars"))
+        fields["n_chars"] = F.when(changed, F.length(kept).cast("long")).otherwise(fields["n_chars"])
     return done.select(*(fields[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, be it with other numbers and names."""
-    judged = templates.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return judged.where(~F.col("contaminated")).select(*docs.columns)
+    """Documents that hold no benchmark item, be it with other numbers and names; null and empty texts hold none."""
+    judged = templates.judge(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return judged.where(~F.col("contaminated")).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
+    """How many words of each document the mix takes: none of an empty one; a null source is one of its own."""
     return mixing.mix(docs)
 
 
 STAGES = [
     ("quality classifier", keep_quality),
-    ("near-dedup", keep_first_copies),
+    ("simhash near-dedup", keep_first_copies),
     ("substring dedup", cut_passages),
     ("benchmark decontamination", drop_benchmark),
     ("mixing", mix_sources),
@@ -60,6 +68,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other over `documents`; an empty table gives an empty result."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
