@@ -58,3 +58,29 @@ LANDMARKS = {
     "lakeside": "Lakeside Mall, Sterling Heights, MI", "partridge creek": "Partridge Creek Mall, Clinton Township, MI", "wayne state": "Wayne State University, Detroit, MI",
     "u of d": "University of Detroit Mercy, Detroit, MI", "uofm dearborn": "University of Michigan-Dearborn, Dearborn, MI", "madonna": "Madonna University, Livonia, MI",
 }
+COUNTIES = {
+    "wayneco_downriver": "wayne", "wayneco_detroit_police_fire": "wayne", "wayneco_detroit_police_dispatch": "wayne", "wayneco_detroit_fire": "wayne", "wayneco_public_safety": "wayne", "wayneco_westland_gardencity": "wayne",
+    "wayneco_dearborn": "wayne", "wayneco_grossepointe": "wayne", "wayneco_plymouthnorthville": "wayne", "wayneco_southwestern": "wayne", "wayneco_detroit_ems": "wayne", "wayneco_romulus": "wayne",
+    "wayneco_northville_plymouth_city": "wayne", "wayneco_franklin_bingham": "wayne", "oaklandco_royaloak_fire": "oakland", "washtenaw_metro": "washtenaw", "washtenaw_livingston": "livingston",
+}
+#: name, primary city, county and note of a feed of which nothing is known
+DEFAULT_CONTEXT = ("Metro Detroit Public Safety", "Metro Detroit", "Wayne County", "Metro Detroit area. Use cross streets and context to determine most likely city.")
+#: said before an address by a model that was to give it alone
+SAID_BEFORE = ["the address is", "the location is", "normalized address:", "address:", "location:", "result:", "output:", "answer:"]
+#: words that make a model's long answer an address
+ANSWER_WORDS = "road avenue street drive boulevard highway mile rd ave st dr blvd hwy no_location".split()
+#: parts of words that make the first part of an address more than a city
+CITY_STREETS = ["road", "ave", "street", "drive", "blvd", "lane", "court", "way", "hwy"]
+#: kinds of places that a search gives back which are too wide, and which are near enough
+WIDE_PLACES = "locality administrative_area_level_1 administrative_area_level_2 administrative_area_level_3 country postal_code political".split()
+NEAR_PLACES = "neighborhood sublocality sublocality_level_1 park establishment point_of_interest premise natural_feature".split()
+#: class of an incident type's tag; any other type with FIRE in it is fire
+TAG_CLASSES = {
+    "MEDICAL": "medical", "SUICIDE": "medical", "SHOOTING": "shooting", "ASSAULT": "shooting", "DOMESTIC": "shooting", "ROBBERY": "shooting", "BURGLARY": "shooting", "USE_OF_FORCE": "shooting", "SHAKEN_AND_BATTERED": "shooting",
+    "HAZMAT": "hazmat", "HAZARD": "hazmat", "BOMB_THREAT": "hazmat", "PURSUIT": "police", "WELFARE_CHECK": "police", "SUSPICIOUS": "police", "COMMERCE": "police", "ASSIST_CITIZEN": "police",
+}
+INCIDENT_COLOURS = {
+    "STRUCTURE_FIRE": "#ff3d00", "VEHICLE_FIRE": "#ff6d00", "FIRE": "#ff9100", "MEDICAL": "#03a9f4", "SUICIDE": "#7986cb", "SHOOTING": "#d50000", "ASSAULT": "#ff1744", "SHAKEN_AND_BATTERED": "#f50057", "DOMESTIC": "#e040fb", "USE_OF_FORCE": "#aa00ff",
+    "ROBBERY": "#ff6f00", "BURGLARY": "#ffa000", "THEFT": "#ffd600", "COMMERCE": "#f9a825", "RECOVERY_AUTO": "#ffb300", "PURSUIT": "#304ffe", "SUSPICIOUS": "#448aff", "WELFARE_CHECK": "#40c4ff", "PRISONER": "#1565c0",
+    "ASSIST_CITIZEN": "#00c853", "ANIMAL_CONTROL": "#69f0ae", "HAZMAT": "#aeea00", "HAZARD": "#c6ff00", "BOMB_THREAT": "#ffea00", "TRAFFIC_ACCIDENT": "#00bfa5", "TRAFFIC": "#80cbc4", "OTHER": "#90a4ae", "UNKNOWN": "#546e7a",
+}

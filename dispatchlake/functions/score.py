@@ -40,6 +40,11 @@ def clearly_different(a: Column, b: Column) -> Column:
     return known(a) & known(b) & (F.size(one) > 0) & (F.size(two) > 0) & ~F.arrays_overlap(one, two)
 
 
+def worth_judging(a: Column, b: Column, incoming: Column, existing: Column) -> Column:
+    """Whether a judge should see a candidate: not if both its address and its type are another."""
+    return ~(F.coalesce(clearly_different(a, b), F.lit(False)) & incompatible(incoming, existing))
+
+
 def should_enrich(action: Column, old_lat: Column, old_lng: Column, lat: Column, lng: Column, moved: float = 0.001) -> Column:
     far = (F.abs(lat - old_lat) > moved) | (F.abs(lng - old_lng) > moved)
     return (action == "NEW") | ((action == "UPDATE") & geo.present(lat, lng) & (old_lat.isNull() | old_lng.isNull() | F.coalesce(far, F.lit(False))))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import difflib
-import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -97,21 +96,18 @@ def checked_extraction(transcript: Column, address: Column) -> Column:
     return F.struct(F.when(absent, F.lit(NO_LOCATION)).otherwise(address).alias("address"), (known & ~absent & (street | near)).alias("in_context"))
 
 
-SAID_BEFORE = "the address is|the location is|normalized address:|address:|location:|result:|output:|answer:"
-
-
 def sanitize(raw: Column) -> Column:
     """A model's answer as one address: without fences, JSON, prefixes, quotes and further sentences."""
     text = F.regexp_replace(F.regexp_replace(_text(raw), "```[a-z]*", ""), r"^\s+|\s+$", "")
     keyed = F.coalesce(*[F.try_variant_get(F.try_parse_json(text), f"$.{k}", "string") for k in ("address", "location", "normalized", "result")])
     text = F.when(text.startswith("{"), F.coalesce(keyed, text)).otherwise(text)
     line = F.coalesce(F.try_element_at(F.filter(F.transform(F.split(text, r"\r?\n"), lambda p: F.trim(p)), lambda s: s != ""), F.lit(1)), F.lit(""))
-    line = F.trim(F.regexp_replace(line, f"^(?i)(?:{SAID_BEFORE})", ""))
+    line = F.trim(F.regexp_replace(line, f"^(?i)(?:{'|'.join(fixed.SAID_BEFORE)})", ""))
     line = F.regexp_replace(line, "^[\"'`]+|[\"'`]+$", "")
     line = F.regexp_replace(F.element_at(F.split(line, r"\.\s+[A-Z]"), 1), r"\.+$", "")
     line = F.substring(line, 1, 120)
     words = _words(line)
-    named = F.arrays_overlap(F.transform(words, F.lower), _list("road avenue street drive boulevard highway mile rd ave st dr blvd hwy no_location".split()))
+    named = F.arrays_overlap(F.transform(words, F.lower), _list(fixed.ANSWER_WORDS))
     vague = (F.size(words) > 12) | ((F.size(words) > 3) & ~line.rlike("[0-9]") & ~named)
     return F.when(vague | (line == ""), F.lit(NO_LOCATION)).otherwise(line)
 
@@ -154,9 +150,19 @@ def geocode_confidence(location_type: Column, a: Column) -> Column:
     return F.when(location_type.isin("ROOFTOP", "RANGE_INTERPOLATED"), F.lit("HIGH")).when(location_type == "APPROXIMATE", near).otherwise(F.lit("MEDIUM"))
 
 
+def place_confidence(location_type: Column, kinds: Column, formatted: Column) -> Column:
+    """How sure a found place is, by its kinds; null for one that is a whole city or more."""
+    kinds = F.coalesce(kinds, F.array().cast("array<string>"))
+    near = F.arrays_overlap(kinds, _list(fixed.NEAR_PLACES))
+    wide = (F.size(kinds) > 0) & (F.size(F.array_except(kinds, _list(fixed.WIDE_PLACES))) == 0)
+    vague = (location_type == "APPROXIMATE") & ~near  # the first part of an address has no comma
+    sure = F.when(location_type.isin("ROOFTOP", "RANGE_INTERPOLATED"), F.lit("HIGH")).otherwise(F.lit("MEDIUM"))
+    return F.when(~wide & ~F.coalesce(vague, F.lit(False)) & formatted.isNotNull(), sure)
+
+
 def is_city_level(a: Column) -> Column:
     first = F.element_at(_parts(a), 1)
-    street = F.lower(first).rlike("road|ave|street|drive|blvd|lane|court|way|hwy")
+    street = F.lower(first).rlike("|".join(fixed.CITY_STREETS))
     return ~first.rlike(r"^[0-9]+\s") & (F.size(_parts(a)) <= 3) & ~street
 
 
@@ -254,14 +260,8 @@ def crime_colour(offense: Column) -> Column:
 
 def tag_class(kind: Column) -> Column:
     kind = F.upper(_text(kind))
-    return (
-        F.when(F.contains(kind, F.lit("FIRE")), F.lit("fire"))
-        .when(kind.isin("MEDICAL", "SUICIDE"), F.lit("medical"))
-        .when(kind.isin("SHOOTING", "ASSAULT", "DOMESTIC", "ROBBERY", "BURGLARY", "USE_OF_FORCE", "SHAKEN_AND_BATTERED"), F.lit("shooting"))
-        .when(kind.isin("HAZMAT", "HAZARD", "BOMB_THREAT"), F.lit("hazmat"))
-        .when(kind.isin("PURSUIT", "WELFARE_CHECK", "SUSPICIOUS", "COMMERCE", "ASSIST_CITIZEN"), F.lit("police"))
-        .otherwise(F.lit("unknown"))
-    )
+    known = F.create_map(*[F.lit(x) for pair in fixed.TAG_CLASSES.items() for x in pair])
+    return F.when(F.contains(kind, F.lit("FIRE")), F.lit("fire")).otherwise(F.coalesce(F.try_element_at(known, kind), F.lit("unknown")))
 
 
 def age_text(seconds: Column) -> Column:
@@ -300,8 +300,11 @@ def feed_short_name(feed: Column) -> Column:
 
 def distance_text(km: Column, inferred: Column) -> Column:
     note = F.when(inferred, F.lit(" (location inferred from units)")).otherwise(F.lit(""))
-    return F.coalesce(F.concat(F.format_string("%.2f km apart", km), note), F.lit("unknown"))
+    return F.when(km.isNotNull(), F.concat(F.format_string("%.2f km apart", km), note)).otherwise(F.lit("unknown"))
 
 
-def literal_regex(words) -> str:
-    return "|".join(re.escape(w) for w in words)
+def age_minutes(ts: Column, as_of: Column) -> Column:
+    """struct(minutes, said): whole minutes since a time given as text; null and unknown for one that is no time."""
+    since = F.try_to_timestamp(F.regexp_replace(ts, "Z$", ""))
+    minutes = F.floor((F.unix_timestamp(as_of.cast("timestamp")) - F.unix_timestamp(since)) / 60)
+    return F.struct(minutes.alias("minutes"), F.coalesce(F.concat(minutes.cast("string"), F.lit(" minutes ago")), F.lit("unknown")).alias("said"))

@@ -34,6 +34,21 @@ def incident_type(transcript: Column) -> Column:
     return out.otherwise(F.lit("UNKNOWN"))
 
 
+# fixed values: the priority of incident types, and what units are called
+HIGH, MEDIUM = ["STRUCTURE_FIRE", "VEHICLE_FIRE", "SHOOTING", "BOMB_THREAT", "HAZMAT", "PURSUIT", "ROBBERY"], ["MEDICAL", "TRAFFIC_ACCIDENT", "ASSAULT", "DOMESTIC", "BURGLARY"]
+_UNIT = r"(?i)\b((?:engine|ladder|medic|car|squad|rescue|truck|battalion|chief) [0-9]+)\b"
+_CLEARED = r"(?i)\b((?:engine|ladder|medic|car|squad|rescue|truck|battalion|chief) [0-9]+) (?:is )?(?:clear|available|in service)\b"
+
+
+def structure(transcript: Column) -> Column:
+    """struct of what a transcript tells: has_incident, incident_type, priority, units_added, units_cleared."""
+    kind = incident_type(transcript)
+    found = lambda pattern: F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(transcript, F.lit("")), F.lit(pattern), F.lit(1)), F.upper))
+    priority = F.when(kind.isin(HIGH), F.lit("HIGH")).when(kind.isin(MEDIUM), F.lit("MEDIUM")).when(kind == "UNKNOWN", F.lit("UNKNOWN")).otherwise(F.lit("LOW"))
+    cleared = found(_CLEARED)
+    return F.struct((kind != "UNKNOWN").alias("has_incident"), kind.alias("incident_type"), priority.alias("priority"), F.array_except(found(_UNIT), cleared).alias("units_added"), cleared.alias("units_cleared"))
+
+
 def summarise(texts: Column) -> Column:
     """The first and the last of an incident's texts."""
     return F.when(F.size(texts) > 1, F.concat_ws(" … ", F.element_at(texts, 1), F.element_at(texts, -1))).otherwise(F.try_element_at(texts, F.lit(1)))
@@ -45,4 +60,5 @@ class Models:
 
     address: Callable[[Column, Column], Column] = extract_address
     type: Callable[[Column], Column] = incident_type
+    structure: Callable[[Column], Column] = structure
     summary: Callable[[Column], Column] = summarise

@@ -79,7 +79,7 @@ def upsert(registry: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 
 def promote(registry: DataFrame, version: str, at: Column) -> DataFrame:
     """One version goes into production; what was there retires."""
-    now, before = F.col("version") == version, (F.col("status") == "production") & (F.col("version") != version)
+    now, before = F.col("model_version") == version, (F.col("status") == "production") & (F.col("model_version") != version)
     return registry.withColumns({
         "deployed_at": F.when(now, at).otherwise(F.col("deployed_at")), "retired_at": F.when(before, at).otherwise(F.col("retired_at")),
         "status": F.when(now, F.lit("production")).when(before, F.lit("retired")).otherwise(F.col("status")),

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from dispatchlake.operators import admin, curate
 from dispatchlake.operators import relational as rel
 from dispatchlake.plans.registry import query
-from dispatchlake.sources import sinks
+from dispatchlake.scratch import folder
+from dispatchlake.sources import feeds, sinks
 from dispatchlake.views import EVENTS_AS_OF, ORDERS_AS_OF, table, view
 
 C = F.col
@@ -75,11 +76,11 @@ def q_review_stats_filter(spark, d):
     return view(spark, d, "v_text").groupBy("feed_id").agg(F.count(F.lit(1)).alias("n"), is_(C("reviewed")).alias("reviewed"), is_(C("toxic") == 1).alias("toxic"), is_(C("label") == "NO_LOCATION").alias("no_location"))
 
 
-_queue = "SELECT chunk_id, feed_id FROM v_text WHERE NOT reviewed AND {} ORDER BY md5(concat(CAST(chunk_id AS STRING), '7')), chunk_id LIMIT 50"
+_queue = "SELECT chunk_id, feed_id FROM v_radio WHERE NOT reviewed AND {} ORDER BY md5(concat(CAST(chunk_id AS STRING), '7')), chunk_id LIMIT 50"
 
 
 def _queued(spark, d, name):
-    return curate.sampled(curate.label_queues(view(spark, d, "v_text"))[name], "chunk_id", "7", 50).select("chunk_id", "feed_id")
+    return curate.sampled(curate.label_queues(view(spark, d, "v_radio"))[name], "chunk_id", "7", 50).select("chunk_id", "feed_id")
 
 
 @query(_queue.format("regexp_matches(raw_transcript, '[0-9]+ Mile') AND length(raw_transcript) > 20"))
@@ -268,10 +269,12 @@ def q_log_lines(spark, d):
     return view(spark, d, "v_stream").select("chunk_id", line.alias("line"))
 
 
-@query("""SELECT chunk_id, line FROM (SELECT chunk_id, concat_ws(' | ', strftime(ts, '%Y-%m-%d %H:%M:%S'), action, feed_id, CAST(incident_id AS STRING), CAST(unit AS STRING)) AS line FROM v_stream) WHERE contains(lower(line), 'resolve') ORDER BY chunk_id DESC LIMIT 200""")
+@query("""WITH l AS (SELECT chunk_id, concat_ws(' | ', strftime(ts, '%Y-%m-%d %H:%M:%S'), action, feed_id, CAST(incident_id AS STRING), CAST(unit AS STRING)) AS line FROM v_stream), h AS (SELECT * FROM l WHERE contains(lower(line), 'resolve'))
+SELECT line, least(200, (SELECT count(*) FROM h)) AS showing, (SELECT count(*) FROM h) AS total FROM (SELECT * FROM h ORDER BY chunk_id DESC LIMIT 200)""")
 def q_log_tail(spark, d):
-    lines = q_log_lines(spark, d)
-    return lines.where(F.contains(F.lower("line"), F.lit("resolve"))).orderBy(C("chunk_id").desc()).limit(200)
+    path = folder(spark, "log")
+    q_log_lines(spark, d).repartitionByRange(4, "chunk_id").sortWithinPartitions("chunk_id").select("line").write.text(path)
+    return feeds.log_tail(spark, path, 200, "Resolve")
 
 
 @query("""SELECT coalesce(n.model_version, o.model_version) AS model_version, coalesce(n.status, o.status) AS status, o.first_ts AS first_ts FROM (SELECT event_type AS model_version, 'shadow' AS status, min(ts) AS first_ts FROM events GROUP BY 1) o

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,17 +14,23 @@ _own: dict[str, str] = {}
 
 
 def folder(spark: SparkSession, label: str) -> str:
-    """A new folder under spark.checkpoint.dir; under a temporary one only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder under spark.checkpoint.dir; where that is unset, under a temporary one that goes with a local session."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="dispatchlake-"))
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="dispatchlake-")
+            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+        named = _own[app]
     return f"{named.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def run_stream(stream: DataFrame, label: str, keys: list[str] | None = None) -> DataFrame:
+def run_stream(stream: DataFrame, label: str, keys: list[str] | None = None, mode: str = "update") -> DataFrame:
     """Run a stream over what there is now into the shared folder, and read its rows.
 
-    With keys, the stream's last row of each key counts (update mode); else all rows do.
+    With keys, the stream's last row of each key counts (update or complete mode); else all rows do.
     """
     spark, out = stream.sparkSession, folder(stream.sparkSession, label)
     writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{out}/state")
@@ -33,7 +41,7 @@ def run_stream(stream: DataFrame, label: str, keys: list[str] | None = None) ->
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/rows/part={number}")
 
-    writer.outputMode("update").foreachBatch(write).start().awaitTermination()
+    writer.outputMode(mode).foreachBatch(write).start().awaitTermination()
     rows = spark.read.parquet(f"{out}/rows/part=*")
     rest = [c for c in stream.columns if c not in keys]
     last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_last"))

@@ -66,10 +66,16 @@ def queued(spark: SparkSession, path: str, schema: str | StructType = CHUNK, str
 
 
 def log_tail(spark: SparkSession, path: str, n: int, contains: str = "") -> DataFrame:
-    """(line) the last n lines that contain a text, in any case, oldest first."""
-    rows = spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
+    """(line, showing, total) the last n lines that contain a text, in any case, oldest first, and how many there are.
+
+    The lines of several files follow each other in the order of the files' names.
+    """
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
     hits = rows.where(F.contains(F.lower("value"), F.lit(contains.lower())))
-    return hits.orderBy(F.col("at").desc()).limit(n).orderBy("at").select(F.col("value").alias("line"))
+    order = [F.col(c) for c in ("file", "block", "at")]
+    last = hits.orderBy(*[c.desc() for c in order]).limit(n)
+    counts = hits.agg(F.count(F.lit(1)).alias("total")).withColumn("showing", F.least("total", F.lit(n)))
+    return last.join(F.broadcast(counts), F.lit(True)).orderBy(*order).select(F.col("value").alias("line"), "showing", "total")
 
 
 STRUCTURED = "has_incident boolean, correlation_action string, incident_id string, incident_type string, priority string, units_added array<string>, units_cleared array<string>, summary_update string"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dispatchlake.functions import text
+from dispatchlake.functions import fixed, geo
 
 
 def events(rows: DataFrame, event: str, key: str, ts: str) -> DataFrame:
@@ -14,6 +14,11 @@ def events(rows: DataFrame, event: str, key: str, ts: str) -> DataFrame:
     return rows.select(uid.alias("event_uuid"), F.lit(event).alias("event"), F.col(ts).alias("ts"), F.to_json(F.struct("*")).alias("payload"))
 
 
+def push(rows: DataFrame, path: str) -> None:
+    """Put rows at the end of a queue: a folder of JSON lines that `feeds.queued` reads, as a batch or a stream."""
+    write_jsonl(rows, path, "append")
+
+
 def write_jsonl(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     rows.write.mode(mode).json(path)
 
@@ -28,10 +33,26 @@ def log_line(ts: Column, event: Column, *fields: Column, most: int = 120) -> Col
     return F.concat_ws(" | ", ts.cast("string"), event, *[F.substring(f.cast("string"), 1, most) for f in fields])
 
 
+def event_line(ts: Column, event: Column, fields: dict[str, list[tuple[str, Column]]]) -> Column:
+    """One line of a log: the time, the event and, of the fields named for the event, those that have a value, as name=value."""
+    detail = F.lit(None).cast("string")
+    for name, own in fields.items():
+        said = F.concat_ws(" | ", *[F.concat(F.lit(f"{k}="), v.cast("string")) for k, v in own])
+        detail = F.when(event == name, said).otherwise(detail)
+    return F.concat_ws(" ", F.concat(F.lit("["), ts, F.lit("]")), F.concat(F.lit("["), event, F.lit("]")), F.nullif(detail, F.lit("")))
+
+
 def features(rows: DataFrame) -> DataFrame:
-    """GeoJSON features of incidents with a place (incident_id, incident_type, priority, address, units, lat, lng)."""
-    props = F.struct("incident_id", "incident_type", "priority", F.coalesce("address", F.lit("")).alias("address"), F.array_join("units", ", ").alias("units"), text.tag_class(F.col("incident_type")).alias("class"))
-    placed = rows.where((F.col("lat") != 0) & (F.col("lng") != 0))
+    """GeoJSON features of incidents with a place (incident_id, incident_type, status, priority, address_full, address_raw, summary, county, units, lat, lng)."""
+    text_of = lambda c, default="": F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(default))
+    kind = text_of("incident_type", "UNKNOWN")
+    colours = F.create_map(*[F.lit(x) for pair in fixed.INCIDENT_COLOURS.items() for x in pair])
+    address = F.coalesce(F.nullif(F.col("address_full"), F.lit("")), text_of("address_raw"))
+    props = F.struct(
+        "incident_id", kind.alias("incident_type"), text_of("status", "ACTIVE").alias("status"), text_of("priority", "UNKNOWN").alias("priority"), address.alias("address"), text_of("summary").alias("summary"), text_of("county").alias("county"),
+        F.array_join(F.coalesce("units", F.array().cast("array<string>")), ", ").alias("units"), F.coalesce(F.try_element_at(colours, kind), F.lit(fixed.INCIDENT_COLOURS["UNKNOWN"])).alias("color"), F.lit(0).alias("selected"),
+    )
+    placed = rows.where(geo.present(F.col("lat"), F.col("lng")))
     return placed.select(F.lit("Feature").alias("type"), F.struct(F.lit("Point").alias("type"), F.array("lng", "lat").alias("coordinates")).alias("geometry"), props.alias("properties"))
 
 

@@ -28,6 +28,13 @@ SELECT concat('feed_', CAST(l_suppkey % 17 AS STRING)) AS feed_id,
     "v_metrics": "SELECT date_trunc('hour', ts) AS bucket, event_type AS model_version, 1 AS normalize_total, CASE WHEN value > 50 THEN 1 ELSE 0 END AS geocode_high FROM {events}",
     "v_points": "SELECT c_custkey AS k, 41.9e0 + (c_custkey * 7919 % 1000) / 1000.0e0 * 1.1e0 AS lat, -84.1e0 + (c_custkey * 104729 % 1000) / 1000.0e0 * 1.6e0 AS lng FROM {customer}",
     "v_stations": "SELECT s_suppkey AS k, 41.9e0 + (s_suppkey * 7919 % 1000) / 1000.0e0 * 1.1e0 AS lat, -84.1e0 + (s_suppkey * 104729 % 1000) / 1000.0e0 * 1.6e0 AS lng FROM {supplier}",
+    "v_radio": """
+SELECT event_id AS chunk_id, ts, event_id % 7 AS form, user_id % 3000 + 100 AS number, event_id % 15 + 5 AS mile,
+ CASE user_id % 6 WHEN 0 THEN 'wayneco_dearborn' WHEN 1 THEN 'wayneco_detroit_fire' WHEN 2 THEN 'wayneco_downriver' WHEN 3 THEN 'oaklandco_royaloak_fire' WHEN 4 THEN 'washtenaw_metro' ELSE 'elsewhere' END AS feed_id,
+ CASE event_id % 7 WHEN 0 THEN 'Engine 30 respond to 14303 East Warren Avenue for a structure fire' WHEN 1 THEN concat('Medic 5 to ', CAST(event_id % 15 + 5 AS STRING), ' Mile and Woodward, unconscious female')
+  WHEN 2 THEN 'Copy that, clear the channel please everyone' WHEN 3 THEN concat('Car 42 at ', CAST(user_id % 3000 + 100 AS STRING), ' Fordson Drive, shots fired') WHEN 4 THEN 'ok'
+  WHEN 5 THEN 'Units check the welfare of a man near the corner of Fenkell and Livernois' ELSE 'Traffic crash at Michigan and Telegraph, two cars' END AS raw_transcript,
+ CASE WHEN event_id % 7 = 2 OR event_id % 7 = 4 THEN 'NO_LOCATION' ELSE 'address' END AS label, CASE event_id % 4 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'LOW' ELSE 'FAILED' END AS confidence, event_id % 5 = 0 AS reviewed FROM {events}""",
     "v_text": """
 SELECT d.doc_id AS chunk_id, d.source AS feed_id, d.text AS raw_transcript, b.quality, b.toxic, b.doc_id IS NOT NULL AS reviewed,
  CASE WHEN b.quality = 0 THEN 'NO_LOCATION' ELSE 'address' END AS label, CASE WHEN d.doc_id % 3 = 0 THEN 'MEDIUM' WHEN d.doc_id % 3 = 1 THEN 'HIGH' ELSE 'FAILED' END AS confidence
