@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from dispatchlake.llm.common import held_out
 from dispatchlake.llm.labels import SAMPLE, in_order, training_texts
 
+#: hash buckets that stand for tokens: each has one vector, whatever the number of tokens
 BUCKETS = 8192
 WIDTH = 64
 NONZERO = 4
@@ -32,18 +33,18 @@ DECAY = 1e-4
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
-def _index_vectors(seed: int = 10) -> tuple[np.ndarray, np.ndarray]:
+def _index_vectors(buckets: int = BUCKETS, seed: int = 10) -> tuple[np.ndarray, np.ndarray]:
     """(places, signs) of the nonzero entries of each bucket's index vector."""
     rng = np.random.default_rng(seed)
-    places = np.argsort(rng.random((BUCKETS, WIDTH)), axis=1)[:, :NONZERO]
-    return places, rng.choice(np.array([-1, 1]), (BUCKETS, NONZERO))
+    places = np.argsort(rng.random((buckets, WIDTH)), axis=1)[:, :NONZERO]
+    return places, rng.choice(np.array([-1, 1]), (buckets, NONZERO))
 
 
 class Buckets:
     """Numbers the tokens of texts; remembers the latest."""
 
-    def __init__(self, bound: int = 400_000) -> None:
-        self.bound, self.known = bound, {}
+    def __init__(self, buckets: int = BUCKETS, bound: int = 400_000) -> None:
+        self.buckets, self.bound, self.known = buckets, bound, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
         tokens = _TOKEN.findall((text or "").lower())
@@ -55,16 +56,16 @@ class Buckets:
         except KeyError:
             for t in tokens:
                 if t not in known:
-                    known[t] = xxhash.xxh3_64_intdigest(t) % BUCKETS
+                    known[t] = xxhash.xxh3_64_intdigest(t) % self.buckets
             return np.array([known[t] for t in tokens], dtype=np.int64)
 
 
-def context_vectors(docs: DataFrame) -> np.ndarray:
+def context_vectors(docs: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """The context vectors of all buckets, summed over all texts; their size is fixed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, signs = _index_vectors()
-        number, total = Buckets(), np.zeros(BUCKETS * WIDTH, dtype=np.int64)
+        places, signs = _index_vectors(buckets)
+        number, total = Buckets(buckets), np.zeros(buckets * WIDTH, dtype=np.int64)
 
         def count(texts: list[np.ndarray]) -> None:
             gap = np.full(REACH, -1)
@@ -88,13 +89,13 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
                     held, size = [], 0
         if held:
             count(held)
-        rows = total.reshape(BUCKETS, WIDTH)
+        rows = total.reshape(buckets, WIDTH)
         used = np.flatnonzero(rows.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(list(rows[used]), pa.list_(pa.int64()))], ["bucket", "sums"])
 
     sums = docs.select("text").mapInArrow(run, "bucket long, sums array<long>")
     summed = sums.groupBy("bucket").agg(*[F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(WIDTH)]).toArrow()
-    out = np.zeros((BUCKETS, WIDTH))
+    out = np.zeros((buckets, WIDTH))
     if summed.num_rows:
         out[summed.column("bucket").to_numpy()] = np.stack([summed.column(f"s{k}").to_numpy() for k in range(WIDTH)], axis=1)
     return out
@@ -102,10 +103,10 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
 
 def token_vectors(context: np.ndarray) -> np.ndarray:
     """Context vectors of length 1 with the buckets' own index vectors."""
-    places, signs = _index_vectors()
+    places, signs = _index_vectors(len(context))
     out = context / np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-9)
     for k in range(NONZERO):
-        out[np.arange(BUCKETS), places[:, k]] += signs[:, k] / np.sqrt(NONZERO)
+        out[np.arange(len(context)), places[:, k]] += signs[:, k] / np.sqrt(NONZERO)
     return out.astype(np.float32)
 
 
@@ -113,7 +114,7 @@ def pooled(tokens: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Mean and spread of a document's token vectors; zeros for one without tokens."""
     if not len(tokens):
         return np.zeros(2 * WIDTH, dtype=np.float32)
-    counts = np.bincount(tokens, minlength=BUCKETS)
+    counts = np.bincount(tokens, minlength=len(vectors))
     used = np.flatnonzero(counts)
     share, own = counts[used].astype(np.float32) / len(tokens), vectors[used]
     mean = share @ own
@@ -185,7 +186,7 @@ def features(rows: DataFrame, vectors: np.ndarray) -> DataFrame:
     """(doc_id, label, x) of (doc_id, text, label) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = Buckets()
+        number = Buckets(len(vectors))
         for batch in batches:
             x = [pooled(number(t), vectors) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.list_(pa.float32()))], ["doc_id", "label", "x"])
@@ -193,9 +194,9 @@ def features(rows: DataFrame, vectors: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, label int, x array<float>")
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> tuple[np.ndarray, Network]:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, buckets: int = BUCKETS) -> tuple[np.ndarray, Network]:
     """Token vectors from all texts and a network from at most `sample` labelled rows."""
-    vectors = token_vectors(context_vectors(docs))
+    vectors = token_vectors(context_vectors(docs, buckets))
     table = in_order(features(training_texts(docs, labels, label, sample), vectors))
     x = table.column("x").combine_chunks().flatten().to_numpy().reshape(-1, 2 * WIDTH).astype(np.float64)
     return vectors, fit(x, table.column("label").to_numpy().astype(np.float64))
@@ -205,7 +206,7 @@ def scorer(vectors: np.ndarray, net: Network):
     """A column function: the probability that a text has label 1."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        number = Buckets()
+        number = Buckets(len(vectors))
         for batch in batches:
             x = np.array([pooled(number(t), vectors) for t in batch]).reshape(-1, 2 * WIDTH)
             yield pd.Series(net.probability(x.astype(np.float64)))
@@ -213,7 +214,7 @@ def scorer(vectors: np.ndarray, net: Network):
     return F.pandas_udf(run, "double")
 
 
-def score(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, sample: int = SAMPLE, buckets: int = BUCKETS) -> DataFrame:
     """One row per row of `docs`: doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted.
 
     The word vectors count all texts; the network learns from at most `sample` labelled rows that
@@ -222,5 +223,5 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold:
     A very long text is tokenised in one task, at about 60 bytes a token. An empty table gives an
     empty result.
     """
-    rows = docs.select("doc_id", "text").withColumn("score", scorer(*train(docs, labels, label, sample))(F.col("text")))
+    rows = docs.select("doc_id", "text").withColumn("score", scorer(*train(docs, labels, label, sample, buckets))(F.col("text")))
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

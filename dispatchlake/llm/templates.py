@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dispatchlake.llm.common import batches_of
+from dispatchlake.llm.common import batches_of, cut
 from dispatchlake.llm.passages import gram_hashes, keyed, stretch_hashes
 
 WINDOW = 8
@@ -301,7 +301,8 @@ def cover(hits: list[dict], tokens: int) -> tuple[int, bool]:
 def matches(docs: DataFrame, benchmark: DataFrame, inline: int = INLINE, whole: bool = False) -> DataFrame:
     """(did, tk, item_id, tokens, covered, exact): items that share a window with a document; with `whole`, or stand in it word for word."""
     rows = keyed(benchmark.select(F.col("item_id").alias("doc_id"), "text"))
-    items = _windows(rows, [], None).select(F.col("did").alias("item_id"), F.col("pos").alias("at"), "n", "hash", "tokens", F.col("vals").alias("theirs")).distinct().persist()
+    items = _windows(rows, [], None).select(F.col("did").alias("item_id"), F.col("pos").alias("at"), "n", "hash", "tokens", F.col("vals").alias("theirs")).distinct()
+    items = cut(items, "items")
     sizes = sorted(r.n for r in items.select("n").distinct().collect())
     if not sizes:
         sizes = [WINDOW]
@@ -312,7 +313,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, inline: int = INLINE, whole:
         only = np.sort(column) if len(column) else np.zeros(1, dtype=np.uint64)
     literals = None
     if whole:
-        plain = _literal_items(rows).distinct().persist()
+        plain = cut(_literal_items(rows).distinct(), "whole-items")
         more = plain.count()
         if more:
             literals = Literals.of(plain.select("head", "n", "hash").distinct().toArrow()) if more <= inline else Literals(sorted(-r.n for r in plain.select("n").distinct().collect()))
