@@ -12,6 +12,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 #: keyed state needs a store with several columns
 STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 RETRY_S, RETRY_TRIES, RETRY_QUEUE = 600, 3, 10
+#: seconds after which the store forgets what no row has touched: queues, and incidents
+QUEUE_TTL_S, INCIDENT_TTL_S = 3_600, 180_000
 
 
 def hourly(stream: DataFrame, ts: str, keys: list[str], sums: dict, late: str = "1 hour") -> DataFrame:
@@ -35,11 +37,15 @@ class RetryQueue(StatefulProcessor):
     """Of each feed the chunks to try again: at most ten, for ten minutes, three times.
 
     A new chunk of the feed first drains the queue, oldest first; a row comes out for every
-    attempt, and for chunks that are given up (outcome dropped, expired or exhausted).
+    attempt, and for chunks that are given up (outcome dropped, expired or exhausted). Ages are
+    event time; with `forget`, the store also drops the queue of a feed that has been silent for `QUEUE_TTL_S`.
     """
 
+    def __init__(self, forget: bool = False) -> None:
+        self.forget = forget
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.queue = handle.getListState("queue", "chunk_id long, attempt int, queued_at double")
+        self.queue = handle.getListState("queue", "chunk_id long, attempt int, queued_at double", ttlDurationMs=QUEUE_TTL_S * 1000 if self.forget else None)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = [tuple(x) for x in self.queue.get()] if self.queue.exists() else []
@@ -69,25 +75,29 @@ class RetryQueue(StatefulProcessor):
         pass
 
 
-def retries(stream: DataFrame) -> DataFrame:
-    """(feed_id, chunk_id, attempt, outcome) from chunks (chunk_id, feed_id, ts, action)."""
+def retries(stream: DataFrame, forget: bool = False) -> DataFrame:
+    """(feed_id, chunk_id, attempt, outcome) from chunks (chunk_id, feed_id, ts, action).
+
+    forget is for jobs that run on: a run over what there is now would wait for state to expire.
+    """
     stream.sparkSession.conf.set(*next(iter(STORE.items())))
     rows = stream.select("chunk_id", "feed_id", F.col("ts").cast("timestamp").alias("ts"), "action")
-    return rows.groupBy("feed_id").transformWithStateInPandas(RetryQueue(), "feed_id string, chunk_id long, attempt int, outcome string", "Append", "None")
+    return rows.groupBy("feed_id").transformWithStateInPandas(RetryQueue(forget), "feed_id string, chunk_id long, attempt int, outcome string", "Append", "ProcessingTime" if forget else "None")
 
 
 class OpenIncidents(StatefulProcessor):
     """The open incidents of a region: a chunk joins the latest of its type that is young enough, or opens one.
 
     Incidents idle for longer than the limit in event time are resolved by the next chunk of
-    their region. Regions are keys, so incidents never meet across regions.
+    their region. Regions are keys, so incidents never meet across regions. With `forget`, the store
+    also drops incidents that nothing has touched for `INCIDENT_TTL_S` of processing time.
     """
 
-    def __init__(self, idle_s: int = 172_800, join_s: int = 14_400) -> None:
-        self.idle_s, self.join_s = idle_s, join_s
+    def __init__(self, idle_s: int = 172_800, join_s: int = 14_400, forget: bool = False) -> None:
+        self.idle_s, self.join_s, self.forget = idle_s, join_s, forget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getMapState("open", "incident_type string", "incident_id long, last double, n int")
+        self.open = handle.getMapState("open", "incident_type string", "incident_id long, last double, n int", ttlDurationMs=INCIDENT_TTL_S * 1000 if self.forget else None)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         out = []
@@ -110,8 +120,8 @@ class OpenIncidents(StatefulProcessor):
         pass
 
 
-def open_incidents(stream: DataFrame, idle_s: int = 172_800, join_s: int = 14_400) -> DataFrame:
-    """(region, incident_id, chunk_id, action, n_chunks) from chunks (region, chunk_id, ts, incident_type)."""
+def open_incidents(stream: DataFrame, idle_s: int = 172_800, join_s: int = 14_400, forget: bool = False) -> DataFrame:
+    """(region, incident_id, chunk_id, action, n_chunks) from chunks (region, chunk_id, ts, incident_type); on forget see `retries`."""
     stream.sparkSession.conf.set(*next(iter(STORE.items())))
     rows = stream.select("region", "chunk_id", F.col("ts").cast("timestamp").alias("ts"), "incident_type")
-    return rows.groupBy("region").transformWithStateInPandas(OpenIncidents(idle_s, join_s), "region string, incident_id long, chunk_id long, action string, n_chunks int", "Append", "None")
+    return rows.groupBy("region").transformWithStateInPandas(OpenIncidents(idle_s, join_s, forget), "region string, incident_id long, chunk_id long, action string, n_chunks int", "Append", "ProcessingTime" if forget else "None")
