@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,8 @@ from dispatchlake.llm.labels import SAMPLE, in_order, training_texts
 HASHES = 1 << 20
 FACTORS = 8
 EPOCHS = 10
+#: texts that a task scores at once, so that the vectors of their terms stay within memory
+AT_ONCE = 256
 #: penalties of weights and of vectors, first and then
 SPARSE, SLIGHT = (0.012, 0.03), (0.001, 0.001)
 _WORD = re.compile(r"\w+")
@@ -137,22 +140,26 @@ def scorer(model: FactorizationMachine):
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known: dict[str, tuple[int, ...]] = {}
+
+        def places(text: str | None) -> list[int]:
+            if len(known) > 400_000:
+                known.clear()
+            found: set[int] = set()
+            for w in set(_WORD.findall((text or "").lower())):
+                own = known.get(w)
+                if own is None:
+                    own = known[w] = tuple(place[t] for t in terms_of(w) if t in place)
+                found.update(own)
+            return sorted(found)
+
         for batch in batches:
-            rows = []
-            for text in batch:
-                if len(known) > 400_000:
-                    known.clear()
-                found: set[int] = set()
-                for w in set(_WORD.findall((text or "").lower())):
-                    own = known.get(w)
-                    if own is None:
-                        own = known[w] = tuple(place[t] for t in terms_of(w) if t in place)
-                    if own:
-                        found.update(own)
-                rows.append(sorted(found))
-            starts = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int64)
-            logits = model.logits(np.array([x for r in rows for x in r], dtype=np.int64), starts)
-            yield pd.Series(1 / (1 + np.exp(-np.clip(logits, -30, 30))))
+            scores = [np.empty(0)]
+            for first in range(0, len(batch), AT_ONCE):
+                rows = [places(text) for text in batch.iloc[first : first + AT_ONCE]]
+                starts = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int64)
+                logits = model.logits(np.fromiter(chain.from_iterable(rows), dtype=np.int64, count=int(starts[-1])), starts)
+                scores.append(1 / (1 + np.exp(-np.clip(logits, -30, 30))))
+            yield pd.Series(np.concatenate(scores))
 
     return F.pandas_udf(run, "double")
 
