@@ -151,7 +151,10 @@ def q_stream_retry(spark, d):
     return run_stream(jobs.retries(rows), "retry")
 
 
-@query()
+@query("""WITH e AS (SELECT user_id % 4 AS r, event_id, ts, event_type AS t FROM events), g AS (SELECT *, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY r, t ORDER BY ts, event_id)) <= 1800 THEN 0 ELSE 1 END AS fresh FROM e),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY r, t ORDER BY ts, event_id) AS run FROM g), m AS (SELECT *, first_value(event_id) OVER (PARTITION BY r, t, run ORDER BY ts, event_id) AS inc, row_number() OVER (PARTITION BY r, t, run ORDER BY ts, event_id) AS n FROM s),
+l AS (SELECT r, t, run, min(inc) AS inc, min(ts) AS began, max(ts) AS ended, count(*) AS n FROM m GROUP BY 1, 2, 3), x AS (SELECT *, lead(began) OVER (PARTITION BY r, t ORDER BY run) AS next FROM l), y AS (SELECT *, ended + INTERVAL '7200' SECOND AS due FROM x WHERE next IS NULL OR epoch(next) - epoch(ended) > 7200)
+SELECT CAST(r AS STRING) AS region, inc AS incident_id, event_id AS chunk_id, CASE WHEN fresh = 1 THEN 'NEW' ELSE 'UPDATE' END AS action, n AS n_chunks FROM m UNION ALL SELECT CAST(y.r AS STRING), inc, e.event_id, 'RESOLVE', n FROM y ASOF JOIN e ON y.r = e.r AND y.due < e.ts""")
 def q_stream_incidents(spark, d):
     rows = _event_stream(spark, d).select((C("user_id") % 4).cast("string").alias("region"), C("event_id").alias("chunk_id"), "ts", C("event_type").alias("incident_type"))
     return run_stream(jobs.open_incidents(rows, idle_s=7200, join_s=1800), "incidents")
