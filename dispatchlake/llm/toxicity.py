@@ -5,7 +5,7 @@ sample has a weight and a short vector; a score adds the weights of a text's ter
 products of the vectors of all pairs of them, so that an insult and the mention of a group can
 mean more together than each alone.
 
-No term is left out by what it says alone. The machine is fitted twice: first with penalties
+No term is left out by what it says alone, only those that hardly any row of the sample has. The machine is fitted twice: first with penalties
 that draw weights, and vectors as a whole, to zero, unless the term earns its place by itself or
 in pairs; then what is left goes on with slight penalties.
 """
@@ -32,6 +32,8 @@ FACTORS = 8
 EPOCHS = 10
 #: texts that a task scores at once, so that the vectors of their terms stay within memory
 AT_ONCE = 256
+#: rows of the sample that have a term, at least: of a rarer one nothing can be learnt
+LEAST = 3
 #: penalties of weights and of vectors, first and then
 SPARSE, SLIGHT = (0.012, 0.03), (0.001, 0.001)
 _WORD = re.compile(r"\w+")
@@ -113,6 +115,12 @@ def _fitted(model: FactorizationMachine, at: np.ndarray, starts: np.ndarray, y:
     return model
 
 
+def _only(terms: np.ndarray, at: np.ndarray, starts: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms, entries (places in terms) and starts of rows without the terms that aren't left."""
+    row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[left[at]]
+    return terms[left], (np.cumsum(left) - 1)[at[left[at]]], np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(starts) - 1))))
+
+
 def fit(table: pa.Table, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = 7) -> FactorizationMachine:
     """The machine of a training table (label, terms); a sample with one label or none gives its share alone."""
     rng = np.random.default_rng(seed)
@@ -123,14 +131,13 @@ def fit(table: pa.Table, factors: int = FACTORS, epochs: int = EPOCHS, seed: int
         return FactorizationMachine(np.empty(0, dtype=np.int64), bias, np.zeros(0), np.zeros((0, factors)))
     column = table.column("terms").combine_chunks()
     starts = column.offsets.to_numpy().astype(np.int64)
-    terms, at = np.unique(column.values.to_numpy()[starts[0] : starts[-1]], return_inverse=True)
-    starts = starts - starts[0]
+    terms, at, rows = np.unique(column.values.to_numpy()[starts[0] : starts[-1]], return_inverse=True, return_counts=True)
+    terms, at, starts = _only(terms, at, starts - starts[0], rows >= LEAST)
     model = FactorizationMachine(terms.astype(np.int64), bias, np.zeros(len(terms)), rng.normal(0, 0.05, (len(terms), factors)))
     _fitted(model, at, starts, y, SPARSE, epochs, rng)
     left = (model.weights != 0) | (np.abs(model.vectors).sum(axis=1) > 1e-6)
-    row = np.repeat(np.arange(len(y)), np.diff(starts))[left[at]]
-    at, starts = (np.cumsum(left) - 1)[at[left[at]]], np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(y)))))
-    model = FactorizationMachine(model.terms[left], bias, model.weights[left], model.vectors[left])
+    terms, at, starts = _only(model.terms, at, starts, left)
+    model = FactorizationMachine(terms, model.bias, model.weights[left], model.vectors[left])
     return _fitted(model, at, starts, y, SLIGHT, epochs, rng)
 
 
