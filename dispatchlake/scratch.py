@@ -27,6 +27,12 @@ def folder(spark: SparkSession, label: str) -> str:
     return f"{named.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that `folder` named, once nothing reads it any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def run_stream(stream: DataFrame, label: str, keys: list[str] | None = None, mode: str = "update") -> DataFrame:
     """Run a stream over what there is now into the shared folder, and read its rows.
 
