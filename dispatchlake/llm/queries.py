@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dispatchlake.llm import fingerprints, fmindex, mixing, quality, simhash, suffix, templates, toxicity, urlrules, warc
+from dispatchlake.llm import fingerprints, fmindex, mixing, quality, simhash, suffix, templates, toxicity, urlrules, vectorcodes, warc
 from dispatchlake.llm.urlrules import Rule
 
 QUERIES: dict = {}
@@ -101,3 +101,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compress(table(spark, sf_dir, "embeddings"))
