@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dispatchlake.llm import fingerprints, fmindex, mixing, quality, simhash, suffix, templates, toxicity, urlrules, vectorcodes, warc
+from dispatchlake.llm import fingerprints, fmindex, linedup, mixing, quality, simhash, suffix, templates, toxicity, urlrules, vectorcodes, warc
 from dispatchlake.llm.urlrules import Rule
 
 QUERIES: dict = {}
@@ -106,3 +106,24 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorcodes.compress(table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = linedup.drop_shared_lines(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE["op13_line_dedup"] = r"""
+WITH lines AS (
+    SELECT doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)
+), shared AS (
+    SELECT key, max(doc_id) AS last FROM lines WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), judged AS (
+    SELECT lines.*, coalesce(doc_id < last, false) AS gone FROM lines LEFT JOIN shared USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
