@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dispatchlake.llm import fingerprints, fmindex, linedup, mixing, quality, simhash, suffix, templates, toxicity, urlrules, vectorcodes, warc
+from dispatchlake.llm import fingerprints, fmindex, linedup, mixing, quality, repair, simhash, suffix, templates, toxicity, urlrules, vectorcodes, warc
 from dispatchlake.llm.urlrules import Rule
 
 QUERIES: dict = {}
@@ -127,3 +127,8 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
     sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
 """
+
+
+@_query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(table(spark, sf_dir, "conversations"))
