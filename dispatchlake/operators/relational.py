@@ -42,7 +42,7 @@ def counted(df: DataFrame, *keys, name: str = "n") -> DataFrame:
 def unit_votes(mentions: DataFrame, assignments: DataFrame, chunk: str = "chunk_id") -> DataFrame:
     """(chunk, incident_id, votes): the incident that most units of a chunk are assigned to, the smallest id of equals."""
     votes = mentions.join(assignments, "unit").groupBy(chunk, "incident_id").agg(F.countDistinct("unit").alias("votes"))
-    return votes.groupBy(chunk).agg(F.max_by(F.struct("incident_id", "votes"), F.struct("votes", -F.col("incident_id"))).alias("best")).select(chunk, "best.*")
+    return votes.groupBy(chunk).agg(F.min_by(F.struct("incident_id", "votes"), F.struct(-F.col("votes"), "incident_id")).alias("best")).select(chunk, "best.*")
 
 
 def live_assignment(mentions: DataFrame, log: DataFrame, ts: str = "ts") -> DataFrame:

@@ -27,6 +27,13 @@ def folder(spark: SparkSession, label: str) -> str:
     return f"{named.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def cut(df: DataFrame, label: str) -> DataFrame:
+    """Write a frame to a new folder and read it back, so that several uses share one computation."""
+    path = folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that `folder` named, once nothing reads it any more."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

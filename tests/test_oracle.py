@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from dispatchlake.plans import curation, incidents, places, records, rules, texts  # noqa: F401
+from dispatchlake.plans import curation, decisions, incidents, places, records, rules, texts  # noqa: F401
 from dispatchlake.plans.registry import ORACLE, QUERIES
 from dispatchlake.views import TABLES
 
