@@ -139,14 +139,23 @@ def place_plausible(city: Column, a: Column) -> Column:
     return (hint == "") | (found == "") | F.contains(found, hint) | F.contains(hint, found)
 
 
-def formatted_address(number: Column, street: Column, city: Column, state: Column) -> Column:
+def formatted_address(number: Column, street: Column, city: Column, state: Column, name: Column | None = None) -> Column:
+    """A found place in a line: a number counts with a street only, a name where there is no street; the state is MI if none is given."""
     blank = lambda c: F.nullif(F.trim(_text(c)), F.lit(""))
-    line = F.nullif(F.concat_ws(" ", blank(number), blank(street)), F.lit(""))
-    return F.concat_ws(", ", line, blank(city), blank(state))
+    named = blank(name) if name is not None else F.lit(None).cast("string")
+    line = F.coalesce(F.concat(blank(number), F.lit(" "), blank(street)), blank(street), named)
+    return F.concat_ws(", ", line, blank(city), F.coalesce(blank(state), F.lit("MI")))
+
+
+def found_confidence(kind: Column, value: Column, number: Column, street: Column) -> Column:
+    """How sure a place from an open map is, by its kind and value and by what its address has."""
+    some = lambda c: _text(c) != ""
+    sure = kind.isin("house", "street", "locality") | some(street) | value.isin("bus_stop", "crossing")
+    return F.when(F.coalesce(sure, some(street)), F.lit("HIGH")).otherwise(F.lit("MEDIUM"))
 
 
 def geocode_confidence(location_type: Column, a: Column) -> Column:
-    near = F.when(has_house_number(a), F.lit("MEDIUM")).otherwise(F.lit("LOW"))
+    near = F.when(F.trim(_text(a)).rlike(r"^[0-9]+\s"), F.lit("MEDIUM")).otherwise(F.lit("LOW"))
     return F.when(location_type.isin("ROOFTOP", "RANGE_INTERPOLATED"), F.lit("HIGH")).when(location_type == "APPROXIMATE", near).otherwise(F.lit("MEDIUM"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dispatchlake.functions import geo, text
+from dispatchlake.operators.relational import latest
 
 
 def _set(c) -> Column:
@@ -53,21 +54,45 @@ def create(chunks: DataFrame) -> DataFrame:
 
 
 def update(incidents: DataFrame, changes: DataFrame, most_chunks: int = 500) -> DataFrame:
-    """Incidents with one change each applied: units, cleared, summary, priority, place and address.
+    """Incidents with their changes applied in order (ts, chunk_id): units, cleared, summary, priority, place and address.
 
-    changes: incident_id, ts, added, cleared, n_summary, n_priority, chunk_id, n_lat, n_lng, inferred,
-    n_address, confidence. Changes to unknown incidents are left out.
+    changes: incident_id, ts, added, cleared, n_summary, n_priority, chunk_id, n_lat, n_lng, inferred, n_address, confidence;
+    any number for an incident. Changes to unknown incidents are left out. A change adds units, then clears some. An
+    inferred place takes the place of none or of an inferred one (incidents' is_location_inferred, if they have it); a real one of any.
+    The steps don't commute, yet each field follows from first, last or largest values, so changes are folded in
+    parts, whatever number an incident has; of chunk_ids no more than `most_chunks` come together.
     """
-    rows = incidents.join(changes, "incident_id", "left")
-    c, some = F.col, F.col("ts").isNotNull()
-    placed = geo.present(c("n_lat"), c("n_lng")) & (c("lat").isNull() | ~c("inferred"))
-    rows = rows.withColumns({
-        "units": F.array_sort(F.array_except(F.array_union(_set("units"), _set("added")), _set("cleared"))), "units_cleared": F.array_sort(F.array_union(_set("units_cleared"), _set("cleared"))),
-        "last_updated": F.coalesce("ts", "last_updated"), "summary": F.coalesce(F.nullif(c("n_summary"), F.lit("")), c("summary")), "priority": F.when(some & (c("n_priority") != "UNKNOWN"), c("n_priority")).otherwise(c("priority")),
-        "chunk_ids": F.when(some, F.reverse(F.slice(F.reverse(F.array_append("chunk_ids", c("chunk_id"))), 1, most_chunks))).otherwise(c("chunk_ids")),
-        "lat": F.when(placed, c("n_lat")).otherwise(c("lat")), "lng": F.when(placed, c("n_lng")).otherwise(c("lng")), "address": text.promoted_address(c("address"), c("n_address"), c("confidence")),
-    })
-    return rows.select(*incidents.columns)
+    c = F.col
+    at = F.struct("ts", "chunk_id")
+    known = changes.join(incidents.select("incident_id"), "incident_id", "left_semi")
+    placed, real = geo.present(c("n_lat"), c("n_lng")), ~F.coalesce("inferred", F.lit(False))
+    good = (F.coalesce("n_address", F.lit("")) != "") & F.coalesce(c("confidence").isin("HIGH", "MEDIUM"), F.lit(False))
+    whole = ~text.is_city_level(c("n_address"))
+    place, address = F.struct("n_lat", "n_lng"), c("n_address")
+    folded = known.groupBy("incident_id").agg(
+        F.max("ts").alias("f_ts"), F.max_by("n_summary", F.when(F.coalesce("n_summary", F.lit("")) != "", at)).alias("f_summary"), F.max_by("n_priority", F.when(F.coalesce("n_priority", F.lit("UNKNOWN")) != "UNKNOWN", at)).alias("f_priority"),
+        F.max_by(place, F.when(placed & real, at)).alias("f_real"), F.max_by(place, F.when(placed & ~real, at)).alias("f_guess"),
+        # a missing address takes any good one, one of a city a whole one, and a whole one stays
+        F.min_by(address, F.when(good & text.has_address(address) & whole, at)).alias("f_whole"), F.min_by(address, F.when(good & text.has_address(address) & ~whole, at)).alias("f_city"), F.max_by(address, F.when(good & ~text.has_address(address), at)).alias("f_none"),
+    )
+    said = F.concat(F.transform(_set("added"), lambda u: F.struct(u.alias("unit"), F.lit(0).alias("gone"))), F.transform(_set("cleared"), lambda u: F.struct(u.alias("unit"), F.lit(1).alias("gone"))))
+    each = known.select("incident_id", at.alias("at"), F.explode(said).alias("e")).groupBy("incident_id", c("e.unit").alias("unit")).agg(F.max(F.struct("at", "e.gone")).alias("last"), F.max("e.gone").alias("ever"))
+    units = each.groupBy("incident_id").agg(*[F.coalesce(F.collect_set(F.when(test, c("unit"))), F.array().cast("array<string>")).alias(n) for n, test in (("f_added", c("last.gone") == 0), ("f_gone", c("last.gone") == 1), ("f_cleared", c("ever") == 1))])
+    newest = latest(known.select("incident_id", "ts", "chunk_id"), ["incident_id"], [c("ts").desc_nulls_last(), c("chunk_id").desc_nulls_last()], most_chunks)
+    chunks = newest.groupBy("incident_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "chunk_id"))), lambda r: r["chunk_id"]).alias("f_chunks"))
+    rows = incidents.join(folded, "incident_id", "left").join(units, "incident_id", "left").join(chunks, "incident_id", "left")
+    old_guess = F.coalesce("is_location_inferred", F.lit(False)) if "is_location_inferred" in incidents.columns else F.lit(False)
+    nowhere = c("lat").isNull() | c("lng").isNull()
+    moved = F.when(c("f_real").isNotNull(), c("f_real")).when(nowhere | old_guess, c("f_guess"))
+    old, better = c("address"), F.coalesce("f_whole", F.when(~text.has_address(c("address")), F.coalesce("f_city", "f_none")))
+    out = {
+        "units": F.array_sort(F.array_union(F.array_except(_set("units"), _set("f_gone")), _set("f_added"))), "units_cleared": F.array_sort(F.array_union(_set("units_cleared"), _set("f_cleared"))), "last_updated": F.coalesce("f_ts", "last_updated"),
+        "summary": F.coalesce("f_summary", "summary"), "priority": F.coalesce("f_priority", "priority"), "chunk_ids": F.when(c("f_chunks").isNull(), c("chunk_ids")).otherwise(F.reverse(F.slice(F.reverse(F.concat(F.coalesce("chunk_ids", F.array().cast(incidents.schema["chunk_ids"].dataType)), c("f_chunks"))), 1, most_chunks))),
+        "lat": F.coalesce(moved["n_lat"], c("lat")), "lng": F.coalesce(moved["n_lng"], c("lng")), "address": F.when(text.has_address(old) & ~text.is_city_level(old), old).otherwise(F.coalesce(better, old)),
+    }
+    if "is_location_inferred" in incidents.columns:
+        out["is_location_inferred"] = F.when(moved.isNotNull(), c("f_real").isNull()).otherwise(c("is_location_inferred"))
+    return rows.select(*[out[n].alias(n) if n in out else c(n) for n in incidents.columns])
 
 
 def upsert(registry: DataFrame, rows: DataFrame, key: str) -> DataFrame:

@@ -101,11 +101,11 @@ def registry_listing(registry: DataFrame) -> DataFrame:
 
 
 def affected(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
-    """(deleted, added, changed): what an operation did to a table, by its key."""
-    side = lambda df, n: df.select(key, F.lit(1).alias(f"_{n}"), F.xxhash64(*(c for c in df.columns if c != key)).alias(f"_{n}h"))
-    both = side(before, "b").join(side(after, "a"), key, "full_outer")
+    """(deleted, added, changed): what an operation did to a table, by its key. Two nulls are equal."""
+    side = lambda df, n: df.select(key, F.struct(*sorted(c for c in df.columns if c != key)).alias(n))
+    both = side(before, "_b").join(side(after, "_a"), key, "full_outer")
     b, a = F.col("_b").isNotNull(), F.col("_a").isNotNull()
-    return both.agg(F.count_if(b & ~a).alias("deleted"), F.count_if(a & ~b).alias("added"), F.count_if(a & b & (F.col("_bh") != F.col("_ah"))).alias("changed"))
+    return both.agg(F.count_if(b & ~a).alias("deleted"), F.count_if(a & ~b).alias("added"), F.count_if(a & b & ~F.col("_b").eqNullSafe(F.col("_a"))).alias("changed"))
 
 
 def speech_ratio(segments: Column, length: Column) -> Column:
@@ -115,10 +115,14 @@ def speech_ratio(segments: Column, length: Column) -> Column:
 
 
 def cut_point(segments: Column, length: Column, target: Column, window: float) -> Column:
-    """The middle of the silence nearest to the target, within the window; else the target. Seconds; segments as in `speech_ratio`, ascending."""
-    inner = F.transform(F.sequence(F.lit(1), F.greatest(F.size(segments) - 1, F.lit(1))), lambda i: (F.try_element_at(segments, i)["stop"] + F.try_element_at(segments, i + 1)["start"]) / 2)
-    near = F.filter(F.array_compact(inner), lambda m: (F.abs(m - target) <= window) & (m < length))
-    best = F.array_min(F.transform(near, lambda m: F.struct(F.abs(m - target).alias("off"), m.alias("at"))))
+    """Where to cut near the target, in seconds: the end of the speech before the silence whose middle is nearest to it, by less than the window; the first of equals.
+
+    segments as in `speech_ratio`, ascending; only what of them lies within the window counts. Without such a silence: the target.
+    """
+    low, high = F.greatest(F.lit(0.0), target - window), F.least(length.cast("double"), target + window)
+    heard = F.transform(F.filter(segments, lambda s: (s["stop"] > low) & (s["start"] < high)), lambda s: F.struct(F.greatest(s["start"].cast("double"), low).alias("start"), F.least(s["stop"].cast("double"), high).alias("stop")))
+    gap = lambda s, i: F.struct(F.abs((s["stop"] + F.try_element_at(heard, i + 2)["start"]) / 2 - target).alias("off"), i.alias("i"), s["stop"].alias("at"))
+    best = F.array_min(F.filter(F.transform(heard, gap), lambda g: g["off"] < window))
     return F.coalesce(best["at"], target.cast("double"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dispatchlake.functions import fixed, text
@@ -309,13 +310,17 @@ def q_speech_ratio(spark, d):
     return rows.select("k", F.round(records.speech_ratio(C("s"), C("n")), 6).alias("ratio"))
 
 
-@query("SELECT o_orderkey AS k, CASE WHEN abs((o_orderkey % 20 + o_orderkey % 20 + 2) / 2.0 - 25) <= 4 AND (o_orderkey % 20 + o_orderkey % 20 + 2) / 2.0 < 40 THEN (o_orderkey % 20 + o_orderkey % 20 + 2) / 2.0 ELSE CASE WHEN o_orderkey % 2 = 0 THEN 27.0 ELSE 25.0 END END AS at FROM orders")
+@query("""WITH g AS (SELECT o_orderkey AS k, o_orderkey % 20 AS p, o_orderkey % 2 AS odd FROM orders),
+gaps AS (SELECT k, greatest(p, 21.0) AS stop, (greatest(p, 21.0) + p + 2.0) / 2 AS middle, 1 AS n FROM g WHERE p > 21 AND p + 2 < 29 UNION ALL SELECT k, 26.0, 27.0, 2 FROM g WHERE odd = 0 UNION ALL SELECT k, 20.0 + (k % 11) * 0.5, 21.0 + (k % 11) * 0.5, 3 FROM g WHERE odd = 1 AND k % 11 > 2),
+best AS (SELECT * FROM gaps WHERE abs(middle - 25) < 4 QUALIFY row_number() OVER (PARTITION BY k ORDER BY abs(middle - 25), n) = 1)
+SELECT g.k, coalesce(stop, 25.0) AS at FROM g LEFT JOIN best ON g.k = best.k""")
 def q_cut_point(spark, d):
-    """Speech up to a place, then silence of 2 s, speech, and for every second one a gap around 27 s."""
+    """Speech with silences of 2 s: one before the window, and around 27 s or between 21 and 27 s."""
     k = C("o_orderkey") % 20
+    gap = F.lit(20.0) + (C("o_orderkey") % 11) * 0.5
     part = lambda a, b: F.struct(a.cast("double").alias("start"), b.cast("double").alias("stop"))
     two = F.array(part(F.lit(0), k), part(k + 2, F.lit(26)), part(F.lit(28), F.lit(39)))
-    one = F.array(part(F.lit(0), k), part(k + 2, F.lit(39)))
+    one = F.array(part(F.lit(0), gap), part(gap + 2, F.lit(39)))
     rows = table(spark, d, "orders").select(C("o_orderkey").alias("k"), F.when(C("o_orderkey") % 2 == 0, two).otherwise(one).alias("s"))
     return rows.select("k", records.cut_point(C("s"), F.lit(40.0), F.lit(25), 4.0).alias("at"))
 
@@ -376,6 +381,39 @@ def q_update_incidents(spark, d):
     return out.select(C("incident_id").alias("k"), F.array_join("units", ",").alias("units"), F.array_join("units_cleared", ",").alias("units_cleared"), "summary", "priority", "lat", "address", F.size("chunk_ids").alias("n_chunks"))
 
 
+_NEWS = """SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n, ['E-1', 'E-2', 'E-3', 'E-4'][CAST(l_partkey % 4 AS INT) + 1] AS added, ['E-1', 'E-2', 'E-3', 'none'][CAST(l_suppkey % 4 AS INT) + 1] AS cleared, CASE WHEN l_partkey % 3 = 0 THEN concat('s', CAST(l_partkey AS STRING)) ELSE '' END AS summary,
+ ['HIGH', 'UNKNOWN', 'LOW'][CAST(l_suppkey % 3 AS INT) + 1] AS priority, CASE WHEN l_partkey % 5 > 1 THEN 42.0e0 + l_partkey % 7 END AS lat, l_suppkey % 2 = 0 AS guess, ['7 Main Street, Troy, MI', 'Troy, MI', 'NO_LOCATION', '', '9 Lake Road, Novi, MI'][CAST(l_partkey % 5 AS INT) + 1] AS address, ['HIGH', 'LOW', 'MEDIUM'][CAST((l_partkey + l_suppkey) % 3 AS INT) + 1] AS sure FROM lineitem"""
+
+
+@query(f"""WITH RECURSIVE news AS MATERIALIZED ({_NEWS}), steps AS (
+SELECT o_orderkey AS k, 0 AS n, ['E-1', 'E-9'] AS units, CAST([] AS VARCHAR[]) AS gone, 'old' AS summary, 'LOW' AS priority, CASE WHEN o_orderkey % 3 > 0 THEN 41.0e0 END AS lat, o_orderkey % 3 = 1 AS guess, CASE o_orderkey % 4 WHEN 0 THEN '1 Old Road, Troy, MI' WHEN 1 THEN 'Troy, MI' WHEN 2 THEN 'NO_LOCATION' END AS address, 0 AS n_chunks FROM orders
+UNION ALL SELECT s.k, s.n + 1, CASE WHEN w.k IS NULL THEN s.units ELSE list_filter(list_distinct(list_append(s.units, w.added)), lambda u: u <> w.cleared) END, CASE WHEN w.k IS NULL THEN s.gone ELSE list_distinct(list_append(s.gone, w.cleared)) END,
+ CASE WHEN w.summary <> '' THEN w.summary ELSE s.summary END, CASE WHEN w.priority <> 'UNKNOWN' THEN w.priority ELSE s.priority END, CASE WHEN w.lat IS NOT NULL AND (s.lat IS NULL OR NOT w.guess OR s.guess) THEN w.lat ELSE s.lat END, CASE WHEN w.lat IS NOT NULL AND (s.lat IS NULL OR NOT w.guess OR s.guess) THEN w.guess ELSE s.guess END,
+ CASE WHEN w.address <> '' AND w.sure IN ('HIGH', 'MEDIUM') AND (s.address IS NULL OR s.address = 'NO_LOCATION' OR (s.address = 'Troy, MI' AND w.address LIKE '% Road,%' OR s.address = 'Troy, MI' AND w.address LIKE '% Street,%')) THEN w.address ELSE s.address END, s.n_chunks + CASE WHEN w.k IS NULL THEN 0 ELSE 1 END
+FROM steps s LEFT JOIN news w ON w.k = s.k AND w.n = s.n + 1 WHERE s.n < 24)
+SELECT k, array_to_string(list_sort(units), ',') AS units, array_to_string(list_sort(gone), ',') AS units_cleared, summary, priority, lat, guess, address, least(n_chunks, 3) AS n_chunks FROM steps WHERE n = 24""")
+def q_update_fold(spark, d):
+    """Several changes for each incident, in one batch, held against taking them one after the other."""
+    none, strings = F.array().cast("array<string>"), lambda *x: F.array(*map(F.lit, x))
+    k = C("o_orderkey")
+    address = F.when(k % 4 == 0, "1 Old Road, Troy, MI").when(k % 4 == 1, "Troy, MI").when(k % 4 == 2, "NO_LOCATION")
+    base = table(spark, d, "orders").select(
+        k.alias("incident_id"), strings("E-1", "E-9").alias("units"), none.alias("units_cleared"), F.lit("old").alias("summary"), F.lit("LOW").alias("priority"), F.array().cast("array<long>").alias("chunk_ids"), F.when(k % 3 > 0, F.lit(41.0)).alias("lat"),
+        F.when(k % 3 > 0, F.lit(-83.0)).alias("lng"), (k % 3 == 1).alias("is_location_inferred"), address.alias("address"), F.lit(None).cast("timestamp").alias("last_updated"),
+    )
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values)).cast("int") + 1)
+    part, supp, n = C("l_partkey"), C("l_suppkey"), C("n")
+    order = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    changes = table(spark, d, "lineitem").withColumn("n", order).select(
+        C("l_orderkey").alias("incident_id"), F.timestamp_seconds(n).alias("ts"), F.array(pick(["E-1", "E-2", "E-3", "E-4"], part)).alias("added"), F.array(pick(["E-1", "E-2", "E-3", "none"], supp)).alias("cleared"), F.when(part % 3 == 0, F.concat(F.lit("s"), part.cast("string"))).otherwise("").alias("n_summary"),
+        pick(["HIGH", "UNKNOWN", "LOW"], supp).alias("n_priority"), n.cast("long").alias("chunk_id"), F.when(part % 5 > 1, 42.0 + part % 7).alias("n_lat"), F.lit(-82.0).alias("n_lng"), (supp % 2 == 0).alias("inferred"), pick(["7 Main Street, Troy, MI", "Troy, MI", "NO_LOCATION", "", "9 Lake Road, Novi, MI"], part).alias("n_address"),
+        pick(["HIGH", "LOW", "MEDIUM"], part + supp).alias("confidence"),
+    )
+    out = admin.update(base, changes, most_chunks=3)
+    joined = [F.array_join(c, ",").alias(c) for c in ("units", "units_cleared")]
+    return out.select(C("incident_id").alias("k"), *joined, "summary", "priority", "lat", C("is_location_inferred").alias("guess"), "address", F.size("chunk_ids").alias("n_chunks"))
+
+
 _VERDICT = "CASE WHEN chunk_id = 900 THEN 'quit' ELSE CASE chunk_id % 4 WHEN 0 THEN 'keep' WHEN 1 THEN 'edit' WHEN 2 THEN 'none' ELSE 'skip' END END"
 
 

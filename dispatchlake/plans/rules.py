@@ -82,24 +82,33 @@ def q_place_plausible(spark, d):
     return view(spark, d, "v_addr").select("k", text.place_plausible(_pick(_CITIES, C("k")), a).alias("plausible"))
 
 
-@query("""SELECT c_custkey AS k, concat_ws(', ', nullif(concat_ws(' ', CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey % 900 AS STRING) END, CASE WHEN c_custkey % 3 > 0 THEN 'Main Street' END), ''), CASE WHEN c_custkey % 5 > 0 THEN 'Troy' END, 'MI') AS formatted FROM customer""")
+_OSM, _OSM_VALUES = ["house", "street", "locality", "district", "city", "other"], ["bus_stop", "crossing", "residential", "park"]
+
+
+@query(f"""WITH p AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey % 900 AS STRING) END AS number, CASE WHEN c_custkey % 3 > 0 THEN 'Main Street' END AS street, CASE WHEN c_custkey % 7 > 2 THEN 'Clark Park' END AS name, CASE WHEN c_custkey % 5 > 0 THEN ', Troy' ELSE '' END AS city,
+ CASE WHEN c_custkey % 11 = 0 THEN ', OH' ELSE ', MI' END AS state, {_picked(_OSM, 'c_custkey')} AS kind, {_picked(_OSM_VALUES, '(c_custkey // 6)')} AS v FROM customer)
+SELECT k, ltrim(concat(CASE WHEN number IS NOT NULL AND street IS NOT NULL THEN concat(', ', number, ' ', street) WHEN street IS NOT NULL THEN concat(', ', street) WHEN name IS NOT NULL THEN concat(', ', name) ELSE '' END, city, state), ', ') AS formatted,
+ CASE WHEN kind = 'house' OR (number IS NOT NULL AND street IS NOT NULL) THEN 'HIGH' WHEN kind IN ('street', 'locality') OR street IS NOT NULL THEN 'HIGH' WHEN v IN ('bus_stop', 'crossing') THEN 'HIGH' ELSE 'MEDIUM' END AS confidence FROM p""")
 def q_formatted_address(spark, d):
+    """Numbers with and without a street, names, places without a state."""
     k = C("c_custkey")
-    made = text.formatted_address(F.when(k % 2 == 0, (k % 900).cast("string")), F.when(k % 3 > 0, F.lit("Main Street")).otherwise(F.lit(" ")), F.when(k % 5 > 0, F.lit(" Troy ")), F.lit("MI"))
-    return table(spark, d, "customer").select(k.alias("k"), made.alias("formatted"))
+    number, street = F.when(k % 2 == 0, (k % 900).cast("string")), F.when(k % 3 > 0, F.lit("Main Street")).otherwise(F.lit(" "))
+    made = text.formatted_address(number, street, F.when(k % 5 > 0, F.lit(" Troy ")), F.when(k % 11 == 0, F.lit("OH")), F.when(k % 7 > 2, F.lit("Clark Park")))
+    sure = text.found_confidence(_pick(_OSM, k), _pick(_OSM_VALUES, F.floor(k / 6)), number, F.nullif(F.trim(street), F.lit("")))
+    return table(spark, d, "customer").select(k.alias("k"), made.alias("formatted"), sure.alias("confidence"))
 
 
 _LOCATION = ["ROOFTOP", "RANGE_INTERPOLATED", "GEOMETRIC_CENTER", "APPROXIMATE", "OTHER"]
 _SETS = {"wide": ["locality", "political"], "near": ["park", "locality"], "odd": ["bus_station"], "none": []}
 
 
-@query(f"""WITH p AS (SELECT c_custkey AS k, {_picked(_LOCATION, 'c_custkey')} AS t, c_custkey % 2 = 0 AS numbered, {_picked(list(_SETS), '(c_custkey // 5)')} AS s FROM customer)
+@query(f"""WITH p AS (SELECT c_custkey AS k, {_picked(_LOCATION, 'c_custkey')} AS t, c_custkey % 4 = 0 AS numbered, {_picked(list(_SETS), '(c_custkey // 5)')} AS s FROM customer)
 SELECT k, CASE t WHEN 'ROOFTOP' THEN 'HIGH' WHEN 'RANGE_INTERPOLATED' THEN 'HIGH' WHEN 'APPROXIMATE' THEN CASE WHEN numbered THEN 'MEDIUM' ELSE 'LOW' END ELSE 'MEDIUM' END AS confidence,
 CASE WHEN s = 'wide' OR (t = 'APPROXIMATE' AND s <> 'near') THEN NULL WHEN t IN ('ROOFTOP', 'RANGE_INTERPOLATED') THEN 'HIGH' ELSE 'MEDIUM' END AS place FROM p""")
 def q_geocode_confidence(spark, d):
     k = C("c_custkey")
     kinds = F.element_at(F.array(*[F.array(*map(F.lit, v)).cast("array<string>") for v in _SETS.values()]), (F.floor(k / 5) % 4).cast("int") + 1)
-    kind, a = _pick(_LOCATION, k), F.when(k % 2 == 0, F.lit("5 Main")).otherwise(F.lit("Main"))
+    kind, a = _pick(_LOCATION, k), _pick([" 5 Main", "Main", "8th Street", "17"], k)
     return table(spark, d, "customer").select(k.alias("k"), text.geocode_confidence(kind, a).alias("confidence"), text.place_confidence(kind, kinds, a).alias("place"))
 
 

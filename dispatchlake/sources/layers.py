@@ -32,8 +32,8 @@ def read_through(cache: DataFrame, source: DataFrame, as_of: Column, default_s:
 
 def invalidated(cache: DataFrame, dataset: str) -> tuple[DataFrame, DataFrame]:
     """A cache without a dataset, and one row on what happened: an unknown dataset is an error."""
-    gone = F.col("dataset") == dataset
-    said = cache.agg(F.count_if(F.coalesce(gone, F.lit(False))).alias("removed"))
+    gone = F.coalesce(F.col("dataset") == dataset, F.lit(False))
+    said = cache.agg(F.count_if(gone).alias("removed"))
     return cache.where(~gone), said.withColumn("status", F.when(F.col("removed") > 0, F.lit("ok")).otherwise(F.lit("unknown dataset")))
 
 
