@@ -158,3 +158,17 @@ SELECT CAST(r AS STRING) AS region, inc AS incident_id, event_id AS chunk_id, CA
 def q_stream_incidents(spark, d):
     rows = _event_stream(spark, d).select((C("user_id") % 4).cast("string").alias("region"), C("event_id").alias("chunk_id"), "ts", C("event_type").alias("incident_type"))
     return run_stream(jobs.open_incidents(rows, idle_s=7200, join_s=1800), "incidents")
+
+
+@query("""WITH c AS (SELECT concat('feed_', CAST(user_id % 17 AS STRING)) AS feed_id, event_type AS incident_type, event_id AS chunk_id, ts FROM events),
+g AS (SELECT *, lag(ts) OVER w AS before, lead(ts) OVER w AS after FROM c WINDOW w AS (PARTITION BY feed_id, incident_type ORDER BY ts, chunk_id)),
+s AS (SELECT *, sum(CASE WHEN before IS NULL OR epoch_ms(ts) - epoch_ms(before) > 21600000 THEN 1 ELSE 0 END) OVER (PARTITION BY feed_id, incident_type ORDER BY ts, chunk_id) AS life FROM g),
+r AS (SELECT *, first_value(chunk_id) OVER l AS incident_id, row_number() OVER l AS n FROM s WINDOW l AS (PARTITION BY feed_id, incident_type, life ORDER BY ts, chunk_id)),
+e AS (SELECT feed_id, incident_type, incident_id, CAST(NULL AS BIGINT) AS chunk_id, 'RESOLVE' AS action, max(n) AS n_chunks, date_trunc('milliseconds', max(ts)) + INTERVAL '6' HOUR AS ended, max(after) AS after FROM r GROUP BY feed_id, incident_type, incident_id, life)
+SELECT feed_id, incident_type, incident_id, chunk_id, CASE n WHEN 1 THEN 'NEW' ELSE 'UPDATE' END AS action, n AS n_chunks, date_trunc('milliseconds', ts) AS "at" FROM r
+UNION ALL SELECT feed_id, incident_type, incident_id, chunk_id, action, n_chunks, ended FROM e WHERE (SELECT max(x.ts) FROM c x WHERE x.feed_id = e.feed_id AND x.incident_type = e.incident_type) > ended OR ended <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL '10' MINUTE FROM c)""")
+def q_stream_lives(spark, d):
+    """Incidents that end by a timer in event time, whether another chunk comes or not."""
+    rows = _event_stream(spark, d).select(F.concat(F.lit("feed_"), (C("user_id") % 17).cast("string")).alias("feed_id"), C("event_type").alias("incident_type"), C("event_id").alias("chunk_id"), "ts")
+    out = run_stream(jobs.lives(rows, idle_s=21_600), "lives")
+    return out.withColumns({"at": F.date_trunc("millisecond", "at").cast("timestamp_ntz"), "n_chunks": C("n_chunks").cast("long")})

@@ -125,3 +125,63 @@ def open_incidents(stream: DataFrame, idle_s: int = 172_800, join_s: int = 14_40
     stream.sparkSession.conf.set(*next(iter(STORE.items())))
     rows = stream.select("region", "chunk_id", F.col("ts").cast("timestamp").alias("ts"), "incident_type")
     return rows.groupBy("region").transformWithStateInPandas(OpenIncidents(idle_s, join_s, forget), "region string, incident_id long, chunk_id long, action string, n_chunks int", "Append", "ProcessingTime" if forget else "None")
+
+
+class Lives(StatefulProcessor):
+    """The open incident of a feed and type: chunks join it until it has been idle for too long, then it ends by itself.
+
+    A timer in event time stands at the end of the idle time and moves with each chunk. When the watermark
+    passes it, the incident is resolved as of then and its state goes, though no chunk of the key ever
+    comes again. A chunk after that end resolves it too, if the watermark lags; so batches of any size give the same rows.
+    """
+
+    def __init__(self, idle_s: int) -> None:
+        self.idle_ms = idle_s * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.open = handle, handle.getValueState("open", "incident_id long, last long, n int")
+
+    def _ended(self, key, state: tuple) -> tuple:
+        return (*key, state[0], None, "RESOLVE", state[2], pd.Timestamp(state[1] + self.idle_ms, unit="ms"))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        state, out = self.open.get() if self.open.exists() else None, []
+        if state:
+            self.handle.deleteTimer(state[1] + self.idle_ms)
+        for r in pd.concat(list(rows)).sort_values(["ts", "chunk_id"]).itertuples():
+            now = int(r.ts.timestamp() * 1000)
+            if state and now - state[1] > self.idle_ms:
+                out.append(self._ended(key, state))
+                state = None
+            action = "UPDATE" if state else "NEW"
+            state = (state[0], max(state[1], now), state[2] + 1) if state else (int(r.chunk_id), now, 1)
+            out.append((*key, state[0], int(r.chunk_id), action, state[2], r.ts))
+        self.open.update(state)
+        self.handle.registerTimer(state[1] + self.idle_ms)
+        yield self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state = self.open.get()
+        self.open.clear()
+        yield self._frame([self._ended(key, state)])
+
+    @staticmethod
+    def _frame(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["feed_id", "incident_type", "incident_id", "chunk_id", "action", "n_chunks", "at"])
+        return out.astype({"chunk_id": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def lives(stream: DataFrame, idle_s: int = 172_800, late: str = "10 minutes") -> DataFrame:
+    """(feed_id, incident_type, incident_id, chunk_id, action, n_chunks, at) from chunks (feed_id, incident_type, chunk_id, ts).
+
+    NEW and UPDATE have their chunk and its time; RESOLVE has no chunk, and the time at which the idle time ended. An
+    incident that is idle when the watermark (the largest time less `late`) has passed that end is resolved. Chunks
+    behind the watermark are left out. A restart from the checkpoint goes on with timers and state as they were.
+    """
+    stream.sparkSession.conf.set(*next(iter(STORE.items())))
+    rows = stream.select("feed_id", "incident_type", "chunk_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
+    out = "feed_id string, incident_type string, incident_id long, chunk_id long, action string, n_chunks int, at timestamp"
+    return rows.groupBy("feed_id", "incident_type").transformWithStateInPandas(Lives(idle_s), out, "Append", "EventTime")

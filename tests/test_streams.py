@@ -2,7 +2,10 @@
 
 from collections import defaultdict
 
+import pandas as pd
+
 from dispatchlake.plans.curation import q_stream_incidents, q_stream_retry
+from dispatchlake.streaming import jobs
 from dispatchlake.views import table
 
 DIR = "/root/testdata/sf0.001"
@@ -49,3 +52,35 @@ def test_open_incidents(spark):
                 known[kind] = (chunk, now, 1)
                 want.append((region, chunk, chunk, "NEW", 1))
     assert sorted(tuple(r) for r in q_stream_incidents(spark, DIR).collect()) == sorted(want)
+
+
+def test_lives_end_by_themselves_in_batches_of_any_size_and_after_a_restart(spark, tmp_path):
+    schema = "feed_id string, incident_type string, chunk_id long, ts timestamp"
+    rows = spark.read.parquet(f"{DIR}/events.parquet").selectExpr("concat('f', user_id % 3) as feed_id", "event_type as incident_type", "event_id as chunk_id", "cast(ts as timestamp) as ts").toPandas().sort_values("ts").reset_index(drop=True)
+    rows.loc[5, "feed_id"] = "silent"  # a key that is never heard of again
+    last = rows.ts.max()
+
+    def run(name, parts, times):
+        """The parts one file each; so many files before each start."""
+        place = tmp_path / name
+        (place / "in").mkdir(parents=True)
+        cuts = [len(rows) * i // parts for i in range(parts + 1)]
+        for started, n in enumerate(times):
+            for i in range(sum(times[:started]), sum(times[: started + 1])):
+                spark.createDataFrame(rows[cuts[i] : cuts[i + 1]], schema).coalesce(1).write.mode("append").parquet(str(place / "in"))
+            stream = jobs.lives(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(place / "in")), idle_s=7200)
+            writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", str(place / "state")).option("path", str(place / "out"))
+            writer.format("parquet").outputMode("append").start().awaitTermination()
+        got = spark.read.parquet(str(place / "out")).toPandas()
+        return sorted(tuple(map(str, r)) for r in got.itertuples(index=False)), got
+
+    one, frame = run("one", 1, [1])
+    several, _ = run("several", 5, [2, 3])
+    assert one == several
+    assert ((frame.feed_id == "silent") & (frame.action == "RESOLVE")).sum() == 1
+    ends = frame[frame.action == "RESOLVE"]
+    assert len(ends) and (ends["at"] <= last).all() and ends.chunk_id.isna().all()
+    # what isn't resolved was heard of too late for its end to have passed
+    opened, ended = set(frame.incident_id), set(ends.incident_id)
+    latest = frame[frame.action != "RESOLVE"].groupby("incident_id")["at"].max()
+    assert all(latest[i] > last - pd.Timedelta(seconds=7200 + 600) for i in opened - ended)
