@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dispatchlake.operators import stretches
+
 
 def where_equal(df: DataFrame, status=None, incident_type=None, county=None, feed_id=None) -> DataFrame:
     """Rows that equal the given values; None asks for nothing."""
@@ -69,30 +71,29 @@ def missing_from(df: DataFrame, others: DataFrame, key: str) -> DataFrame:
     return df.join(others.select(key), key, "left_anti")
 
 
-def sessions(df: DataFrame, key: str, ts: str, gap_s: int, tie: str) -> DataFrame:
+def sessions(df: DataFrame, key: str, ts: str, gap_s: int, tie: str, width: int | None = None) -> DataFrame:
     """session number of each row: a new one after a gap of `gap_s` seconds or more."""
-    order = Window.partitionBy(key).orderBy(ts, tie)
-    gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(order).cast("timestamp"))
-    return df.withColumn("_new", F.when(gap < gap_s * 1_000_000, 0).otherwise(1)).withColumn("session", F.sum("_new").over(order)).drop("_new")
+    rows = stretches.before(stretches.cut_up(df, ts, width), key, [ts, tie], [ts])
+    gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col(f"_before.{ts}").cast("timestamp"))
+    new = F.when(gap < gap_s * 1_000_000, 0).otherwise(1)
+    return stretches.running_sum(rows, key, [ts, tie], new, "session").select(*df.columns, "session")
 
 
-def context_tail(df: DataFrame, key: str, order: str, text: str, words: int = 30, valid_s: int | None = None) -> DataFrame:
+def context_tail(df: DataFrame, key: str, order: str, text: str, words: int = 30, valid_s: int | None = None, width: int | None = None) -> DataFrame:
     """tail: the last words of the text before, of the same key, if that isn't too old."""
-    by = Window.partitionBy(key).orderBy(order)
-    before = F.lag(text).over(by)
+    rows = stretches.before(stretches.cut_up(df, order, width), key, [order], [order, text])
+    before = F.col(f"_before.{text}")
     if valid_s is not None:
-        before = F.when(F.unix_timestamp(F.col(order).cast("timestamp")) - F.unix_timestamp(F.lag(order).over(by).cast("timestamp")) < valid_s, before)
+        before = F.when(F.unix_timestamp(F.col(order).cast("timestamp")) - F.unix_timestamp(F.col(f"_before.{order}").cast("timestamp")) < valid_s, before)
     said = F.filter(F.split(before, " "), lambda w: w != "")
-    return df.withColumn("tail", F.when(before.isNotNull(), F.array_join(F.slice(said, F.greatest(F.size(said) - words + 1, F.lit(1)), words), " ")))
+    return rows.withColumn("tail", F.when(before.isNotNull(), F.array_join(F.slice(said, F.greatest(F.size(said) - words + 1, F.lit(1)), words), " "))).select(*df.columns, "tail")
 
 
-def failure_backoff(df: DataFrame, key: str, ts: str, failed: Column, first_s: int = 5, most_s: int = 120) -> DataFrame:
+def failure_backoff(df: DataFrame, key: str, ts: str, failed: Column, first_s: int = 5, most_s: int = 120, width: int | None = None) -> DataFrame:
     """run (failures in a row so far) and wait_s of each row; a success ends a run."""
-    order = Window.partitionBy(key).orderBy(ts)
-    rows = df.withColumn("_failed", failed).withColumn("_run", F.sum((~F.col("_failed")).cast("int")).over(order))
-    run = F.sum(F.col("_failed").cast("int")).over(Window.partitionBy(key, "_run").orderBy(ts))
+    rows = stretches.run_lengths(stretches.cut_up(df, ts, width), key, [ts], failed, "run")
     wait = F.when(F.col("run") > 0, F.least(F.lit(most_s), first_s * F.pow(F.lit(2), F.least(F.col("run") - 1, F.lit(20))).cast("int"))).otherwise(0)
-    return rows.withColumn("run", run).withColumn("wait_s", wait).drop("_failed", "_run")
+    return rows.withColumn("wait_s", wait).select(*df.columns, "run", "wait_s")
 
 
 def seeded_order(key: Column, seed: str) -> Column:
