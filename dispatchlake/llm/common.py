@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dispatchlake.scratch import folder
+from dispatchlake.scratch import folder, remove
 
 #: A word is a run of characters other than space and U+0009 to U+000D; bytes.split() cuts alike.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,6 +23,13 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that `cut` wrote, once nothing reads them any more."""
+    for t in tables:
+        for place in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            remove(t.sparkSession, place)
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != F.lit(""))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dispatchlake.llm.common import WordIds, batches_of, cut
+from dispatchlake.llm.common import WordIds, batches_of, cut, drop
 from dispatchlake.llm.graph import components
 from dispatchlake.llm.passages import gram_hashes, keyed, word_code
 from dispatchlake.llm import simhash
@@ -100,8 +100,19 @@ def _prefixes(texts: DataFrame, seen: np.ndarray, k: int = SHINGLE, bits: int =
     return texts.mapInArrow(run, "h long, node long, n int, pos int")
 
 
-def _sets_of(nodes: DataFrame, marks: DataFrame, texts: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(node, hashes) of some nodes, each from the text of one of its rows."""
+def _again(marks: DataFrame) -> DataFrame | None:
+    """(did, tk) of rows that stand more than once; None if there are none."""
+    again = cut(marks.groupBy("did", "tk").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows"), "again")
+    return None if again.isEmpty() else again
+
+
+def _few(keys: DataFrame) -> DataFrame:
+    """Keys to join with, broadcast if they are no more than `BROADCAST`."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST else keys
+
+
+def _sets_of(nodes: DataFrame, marks: DataFrame, texts: DataFrame, once: bool, k: int = SHINGLE) -> DataFrame:
+    """(node, hashes) of some nodes, each from the text of one of its rows; once: no row repeats another's did and tk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = WordIds(word_code)
@@ -111,9 +122,8 @@ def _sets_of(nodes: DataFrame, marks: DataFrame, texts: DataFrame, k: int = SHIN
                 yield pa.RecordBatch.from_arrays([pa.array(nodes), lists], ["node", "hashes"])
 
     rows = marks.join(nodes, "node").groupBy("node").agg(F.min(F.struct("did", "tk")).alias("r")).select("r.*")
-    rows = cut(rows, "wanted")
-    held = texts.join(F.broadcast(rows) if rows.count() <= BROADCAST else rows, ["did", "tk"], "left_semi")
-    return cut(held.mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node"]), "sets")
+    held = texts.join(_few(cut(rows, "wanted")), ["did", "tk"], "left_semi").mapInArrow(run, "node long, hashes array<long>")
+    return cut(held if once else held.dropDuplicates(["node"]), "sets")
 
 
 def _may_link(a: str, b: str):
@@ -155,17 +165,26 @@ def _alike(marks: DataFrame, radius: int) -> DataFrame:
     return equal.union(near).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
-def near_links(texts: DataFrame, marks: DataFrame, seen: np.ndarray, radius: int = simhash.RADIUS) -> DataFrame:
-    """(node, root): the components of the distinct sets linked by a Jaccard similarity of at least `SHARE`."""
+def near_links(texts: DataFrame, marks: DataFrame, seen: np.ndarray, radius: int = simhash.RADIUS, once: bool = False) -> DataFrame:
+    """(node, root): the components of the distinct sets linked by a Jaccard similarity of at least `SHARE`; once: see `_sets_of`.
+
+    Whole sets are made, shuffled and dropped again for the nodes of one turn's pairs only.
+    """
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs, "pairs")
+        sets = _sets_of(pairs.select("x").union(pairs.select("y")).distinct().withColumnRenamed("x", "node"), marks, texts, once)
+        near = cut(_verified(pairs, sets), "near")
+        drop(sets, pairs)
+        return near
+
     alike = cut(_alike(marks, radius), "alike")
     # of each shingle the sets that have it in their prefix, if they are two or more
     by = Window.partitionBy("h").orderBy("n", "node")
     rows = _prefixes(texts, seen).withColumn("again", F.lag("node").over(by) == F.col("node")).where("again is null or not again")
     members = rows.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("k > 1").select("h", "node", "n", "pos")
     members = cut(members, "shared")
-    nodes = members.select("node").union(alike.select("x")).union(alike.select("y")).distinct()
-    sets = _sets_of(nodes, marks, texts)
-    edges = cut(_verified(alike, sets), "links")
+    edges = verified(alike)
     roots = cut(components(edges), "roots")
     for turn in range(ROUNDS + 1):
         rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -177,8 +196,9 @@ def near_links(texts: DataFrame, marks: DataFrame, seen: np.ndarray, radius: int
             one = rooted
         pairs = rooted.alias("a").join(one.alias("b"), "h").where(F.col("a.root") != F.col("b.root")).where(_may_link("a", "b"))
         pairs = pairs.select(F.least("a.node", "b.node").alias("x"), F.greatest("a.node", "b.node").alias("y")).distinct()
-        edges = cut(edges.union(_verified(pairs, sets)), "links")
+        edges, old = cut(edges.union(verified(pairs)), "links"), (edges, roots, rooted)
         roots = cut(components(edges), "roots")
+        drop(*old)
     return roots
 
 
@@ -196,7 +216,13 @@ def first_copies(docs: DataFrame, radius: int = simhash.RADIUS) -> DataFrame:
     own = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))).alias("did"), F.xxhash64(text, docs["doc_id"].isNull()).alias("tk"), F.struct("*").alias("row"))
     texts = keyed(docs)
     marks, seen = _marks(texts)
-    roots = near_links(texts, marks, seen, radius)
+    again = _again(marks)
+    roots = near_links(texts, marks, seen, radius, again is None)
     rows = marks.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = cut(rows.groupBy("root").agg(F.min(F.struct("did", "tk")).alias("f")).select("f.*"), "first")
-    return own.join(first, ["did", "tk"], "left_semi").dropDuplicates(["did", "tk"]).select("row.*")
+    kept = own.join(_few(first), ["did", "tk"], "left_semi")
+    if again is None:
+        return kept.select("row.*")
+    again = _few(again)  # whole rows are shuffled only where some repeat
+    single, repeated = kept.join(again, ["did", "tk"], "left_anti"), kept.join(again, ["did", "tk"], "left_semi")
+    return single.union(repeated.dropDuplicates(["did", "tk"])).select("row.*")
