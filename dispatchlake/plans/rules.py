@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dispatchlake import models
 from dispatchlake.functions import fixed, score, text
-from dispatchlake.operators import curate
+from dispatchlake.operators import curate, phrases
 from dispatchlake.plans.registry import query
 from dispatchlake.sources import layers
 from dispatchlake.views import EVENTS_AS_OF, table, view
@@ -218,3 +218,36 @@ def q_sanitize_forms(spark, d):
     """Answers as fenced JSON, with a prefix, quoted with a sentence after (quotes go before sentences are cut), with dots, empty, and as a long story."""
     forms = F.array(F.concat(F.lit("```json\n{\"address\": \""), C("addr"), F.lit("\"}\n```")), F.concat(F.lit("Address: "), C("addr")), F.concat(F.lit('"'), C("addr"), F.lit('". It is near. Yes')), F.concat(C("addr"), F.lit("...")), F.lit("  "), F.lit("the caller does not say anything about where this is or what is going on there at all"))
     return view(spark, d, "v_addr").select("k", text.sanitize(F.element_at(forms, (C("k") % 6).cast("int") + 1)).alias("address"))
+
+
+_NAMES = ["mgm", "mgm grand", "MGM Casino", "Henry Ford", "u of d", "ren cen", "fairlane town center", "fairlane", "Belle  Isle", "nowhere hall", "grand", "little caesars arena"]
+_SPOKEN = ["Car 4 to {n} and then {m}, copy", "{n} {m} at the door", "all units, {n}", "nothing said", "{n}; {n}"]
+
+
+def _spoken(name: str, other: str) -> str:
+    """SQL: a transcript that names places."""
+    each = " ".join(f"WHEN {i} THEN replace(replace('{t}', '{{n}}', {name}), '{{m}}', {other})" for i, t in enumerate(_SPOKEN))
+    return f"CASE event_id % {len(_SPOKEN)} {each} END"
+
+
+_NAMED = _spoken(_picked(_NAMES, "(event_id // 5)"), _picked(_NAMES, "(event_id // 60)"))
+
+
+@query(f"""WITH RECURSIVE known AS (SELECT unnest(map_entries(MAP {{{', '.join(f"'{k}': '{v.replace(chr(39), chr(39) * 2)}'" for k, v in fixed.LANDMARKS.items())}}})) AS e), p AS (SELECT e.key AS phrase, e.value AS v, len(string_split(e.key, ' ')) AS n FROM known),
+t AS (SELECT event_id AS k, regexp_extract_all(lower({_NAMED}), '[a-z0-9'']+') AS w FROM events),
+m AS MATERIALIZED (SELECT k, i, arg_max(v, n) AS v, max(n) AS n FROM (SELECT k, w, unnest(range(1, len(w) + 1)) AS i FROM t) x JOIN p ON array_to_string(list_slice(w, i, i + p.n - 1), ' ') = phrase GROUP BY 1, 2),
+s AS (SELECT k, CAST(1 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS v, len(w) AS last FROM t UNION ALL SELECT s.k, s.i + coalesce(m.n, 1), m.v, last FROM s LEFT JOIN m ON m.k = s.k AND m.i = s.i WHERE s.i <= last)
+SELECT k, string_agg(v, ' | ' ORDER BY i) AS places FROM s WHERE v IS NOT NULL GROUP BY k""")
+def q_landmarks_said(spark, d):
+    """Landmarks named in free text, the longest name at each place."""
+    rows = _said(spark, d)
+    known = spark.createDataFrame(list(fixed.LANDMARKS.items()), "phrase string, value string")
+    return phrases.found(rows, known, "k", "said").select("k", F.array_join(F.transform("found", lambda m: m["value"]), " | ").alias("places"))
+
+
+def _said(spark, d):
+    k = C("event_id")
+    name, other = _pick(_NAMES, F.floor(k / 5)), _pick(_NAMES, F.floor(k / 60))
+    each = [F.replace(F.replace(F.lit(t), F.lit("{n}"), name), F.lit("{m}"), other) for t in _SPOKEN]
+    said = F.element_at(F.array(*each), (k % len(_SPOKEN)).cast("int") + 1)
+    return table(spark, d, "events").select(k.alias("k"), said.alias("said"))
