@@ -95,6 +95,32 @@ def update(incidents: DataFrame, changes: DataFrame, most_chunks: int = 500) ->
     return rows.select(*[out[n].alias(n) if n in out else c(n) for n in incidents.columns])
 
 
+#: what `applied` keeps of an incident
+KEPT = "incident_id feed_id status opened_at last_updated resolved_at incident_type priority address lat lng is_location_inferred units units_cleared summary chunk_ids".split()
+
+
+def applied(incidents: DataFrame, chunks: DataFrame, decided: DataFrame) -> DataFrame:
+    """The incidents after a batch of decisions: those that chunks open, and the old ones with their chunks folded in, resolved where a decision says so.
+
+    incidents: the columns of `KEPT`; decided: chunk_id, action, incident_id. chunks: chunk_id, feed_id, ts, incident_type,
+    address, lat, lng, units, units_cleared; and priority, summary, confidence, inferred where they are known. A new
+    incident's id is a text, so ids are.
+    """
+    kinds = {"priority": "string", "summary": "string", "confidence": "string", "inferred": "boolean"}
+    said = chunks.select("*", *(F.lit(None).cast(k).alias(n) for n, k in kinds.items() if n not in chunks.columns))
+    told = said.join(decided.select("chunk_id", "action", "incident_id"), "chunk_id")
+    opened = create(told.where("action = 'NEW'"))
+    more = told.select(F.col("chunk_id").alias("_c"), "priority", "summary", F.coalesce("inferred", F.lit(False)).alias("is_location_inferred"))
+    new = opened.join(more, F.col("chunk_ids")[0] == F.col("_c")).withColumns({"resolved_at": F.lit(None).cast("timestamp"), "units_cleared": F.array().cast("array<string>")})
+    known = told.where("action IN ('UPDATE', 'RESOLVE')")
+    changes = known.select("incident_id", "ts", "chunk_id", F.col("units").alias("added"), F.col("units_cleared").alias("cleared"), F.col("summary").alias("n_summary"), F.col("priority").alias("n_priority"), F.col("lat").alias("n_lat"), F.col("lng").alias("n_lng"), "inferred", F.col("address").alias("n_address"), "confidence")
+    ends = known.where("action = 'RESOLVE'").groupBy("incident_id").agg(F.max("ts").alias("_end"))
+    old = update(incidents.select(*KEPT), changes).join(ends, "incident_id", "left")
+    over = F.col("_end").isNotNull()
+    old = old.withColumns({"status": F.when(over, F.lit("RESOLVED")).otherwise(F.col("status")), "resolved_at": F.coalesce(F.col("_end").cast("timestamp"), "resolved_at")})
+    return old.select(*KEPT).unionByName(new.select(*KEPT))
+
+
 def upsert(registry: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """New rows, and old ones with what the new ones say that isn't null."""
     new = rows.withColumnsRenamed({c: f"_{c}" for c in rows.columns if c != key})
