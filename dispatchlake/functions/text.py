@@ -228,8 +228,29 @@ def unit_variants(name: Column, short: Column) -> Column:
 
 @F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The ratio of matching blocks of two texts, for which no built-in function exists."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+    """The ratio of matching blocks of two texts, for which no built-in function exists; null where either is null."""
+    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def shared_letters(a: Column, b: Column) -> Column:
+    """How many characters two texts have in common, as multisets: matching blocks have no more."""
+    times = lambda s, c: F.length(s) - F.length(F.replace(s, c, F.lit("")))
+    return F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.least(times(a, c), times(b, c))))
+
+
+def similar(a: Column, b: Column, above: float = 0.80) -> Column:
+    """Whether the ratio of matching blocks of two texts exceeds a bound.
+
+    2 M / T, of T characters M in blocks: no more than the shorter text, or than the letters in common, and no less than a common
+    beginning or end (of texts under 200 characters, since of longer ones frequent letters are left out). Only pairs that this leaves open are compared in Python.
+    """
+    a, b = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
+    total, short = F.length(a) + F.length(b), F.least(F.length(a), F.length(b))
+    same = lambda x, y: F.size(F.filter(F.sequence(F.lit(1), F.greatest(short, F.lit(1))), lambda n: (n <= short) & (F.substring(x, F.lit(1), n) == F.substring(y, F.lit(1), n))))
+    begin = F.greatest(same(a, b), same(F.reverse(a), F.reverse(b)))
+    sure = F.when(a == b, F.lit(True)).when(2 * short <= above * total, F.lit(False)).when(2 * shared_letters(a, b) <= above * total, F.lit(False)).when((F.length(b) < 200) & (2 * begin > above * total), F.lit(True))
+    open_ = sure.isNull()
+    return F.coalesce(sure, similarity(F.when(open_, a), F.when(open_, b)) > above)
 
 
 def street_match(said: Column, label: Column) -> Column:
@@ -243,7 +264,8 @@ def street_match(said: Column, label: Column) -> Column:
     (n1, s1), (n2, s2) = parse(said), parse(label)
     none = (said == NO_LOCATION) | (label == NO_LOCATION)
     differ = (n1 != "") & (n2 != "") & (n1 != n2)
-    return F.when(none, said == label).otherwise(~differ & (similarity(s1, s2) > 0.80))
+    told = none | differ
+    return F.when(none, said == label).otherwise(~differ & similar(F.when(~told, s1), F.when(~told, s2)))
 
 
 def exact_match(said: Column, label: Column) -> Column:

@@ -1,6 +1,7 @@
 """Scalar functions, merge and retry against expected values worked out by hand."""
 
 import difflib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,3 +131,16 @@ def test_sources(spark, tmp_path):
     assert (station.name, station.lat, station.lng) == ("ENGINE 01", 42.33, -83.05)
     got = values(spark, [('```json\n{"has_incident": true}\n```',), ("?",)], "s string", feeds.structured(F.col("s")))
     assert [(g[0]["has_incident"], g[0]["priority"]) for g in got] == [(True, "UNKNOWN"), (False, "UNKNOWN")]
+
+
+def test_similar_against_difflib_and_few_pairs_reach_python(spark, monkeypatch):
+    rng = random.Random(8)
+    names = ["woodward avenue", "gratiot", "west warren road", "é", "", "aaaa", "abab" * 60, "x" * 230]
+    edit = lambda s: "".join(c for c in s if rng.random() > 0.1) + rng.choice(["", "e", " st"])
+    pairs = [(a, rng.choice([edit(a), edit(rng.choice(names)), a])) for a in names * 60] + [(None, None), (None, "a"), ("", "")]
+    want = [difflib.SequenceMatcher(None, a or "", b or "").ratio() > 0.8 for a, b in pairs]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    assert [r.s for r in df.select("i", text.similar(F.col("a"), F.col("b")).alias("s")).orderBy("i").collect()] == want
+    monkeypatch.setattr(text, "similarity", lambda a, b: F.lit(None).cast("double"))
+    left = df.where(text.similar(F.col("a"), F.col("b")).isNull()).count()
+    assert 0 < left < len(pairs) / 2  # what columns alone don't decide
