@@ -5,9 +5,10 @@ sample has a weight and a short vector; a score adds the weights of a text's ter
 products of the vectors of all pairs of them, so that an insult and the mention of a group can
 mean more together than each alone.
 
-No term is left out by what it says alone, only those that hardly any row of the sample has. The machine is fitted twice: first with penalties
+No term is left out beforehand, be it by what it says alone or for being rare. The machine is fitted twice: first with penalties
 that draw weights, and vectors as a whole, to zero, unless the term earns its place by itself or
-in pairs; then what is left goes on with slight penalties.
+in pairs; then what is left goes on with slight penalties. A penalty pulls whenever a row has its term, so
+that of a rare term is made stronger: over the sample it comes to that of `RARE` rows more than have the term.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ FACTORS = 8
 EPOCHS = 10
 #: texts that a task scores at once, so that the vectors of their terms stay within memory
 AT_ONCE = 256
-#: rows of the sample that have a term, at least: of a rarer one nothing can be learnt
-LEAST = 3
+#: over the sample a term's penalties come to those of this many rows more than have it, so that one of a row or two has to say much
+RARE = 10
 #: penalties of weights and of vectors, first and then
 SPARSE, SLIGHT = (0.012, 0.03), (0.001, 0.001)
 _WORD = re.compile(r"\w+")
@@ -86,8 +87,9 @@ def slopes(ids: np.ndarray, starts: np.ndarray, vectors: np.ndarray, error: np.n
     return error[row], error[row, None] * (np.add.reduceat(own, starts[:-1], axis=0)[row] - own)
 
 
-def _fitted(model: FactorizationMachine, at: np.ndarray, starts: np.ndarray, y: np.ndarray, penalties: tuple[float, float], epochs: int, rng: np.random.Generator) -> FactorizationMachine:
+def _fitted(model: FactorizationMachine, at: np.ndarray, starts: np.ndarray, y: np.ndarray, penalties: tuple[float, float], epochs: int, rng: np.random.Generator, rare: float = RARE) -> FactorizationMachine:
     """Fit a model by AdaGrad on the logistic loss, each step followed by the penalties' pull to zero."""
+    pull = 1 + rare / np.bincount(at, minlength=len(model.weights)).clip(1)
     squares = [1e-2, np.full(model.weights.shape, 1e-4), np.full(len(model.vectors), 1e-4)]
     for _ in range(epochs):
         for batch in np.array_split(rng.permutation(len(y)), max(1, len(y) // 64)):
@@ -107,10 +109,10 @@ def _fitted(model: FactorizationMachine, at: np.ndarray, starts: np.ndarray, y:
                 squares[2][used] += (grad_v**2).mean(axis=1)
                 rate = 0.1 / np.sqrt(squares[1][used])
                 w = model.weights[used] - rate * grad_w
-                model.weights[used] = np.sign(w) * np.maximum(0, np.abs(w) - rate * penalties[0])
+                model.weights[used] = np.sign(w) * np.maximum(0, np.abs(w) - rate * penalties[0] * pull[used])
                 rate = 0.05 / np.sqrt(squares[2][used])
                 v = model.vectors[used] - rate[:, None] * grad_v
-                model.vectors[used] = v * np.maximum(0, 1 - rate * penalties[1] / np.maximum(np.sqrt((v * v).sum(axis=1)), 1e-12))[:, None]
+                model.vectors[used] = v * np.maximum(0, 1 - rate * penalties[1] * pull[used] / np.maximum(np.sqrt((v * v).sum(axis=1)), 1e-12))[:, None]
             model.bias -= 0.1 * slope / np.sqrt(squares[0])
     return model
 
@@ -121,7 +123,7 @@ def _only(terms: np.ndarray, at: np.ndarray, starts: np.ndarray, left: np.ndarra
     return terms[left], (np.cumsum(left) - 1)[at[left[at]]], np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(starts) - 1))))
 
 
-def fit(table: pa.Table, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = 7) -> FactorizationMachine:
+def fit(table: pa.Table, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = 7, rare: float = RARE) -> FactorizationMachine:
     """The machine of a training table (label, terms); a sample with one label or none gives its share alone."""
     rng = np.random.default_rng(seed)
     y = table.column("label").to_numpy().astype(np.float64)
@@ -131,14 +133,14 @@ def fit(table: pa.Table, factors: int = FACTORS, epochs: int = EPOCHS, seed: int
         return FactorizationMachine(np.empty(0, dtype=np.int64), bias, np.zeros(0), np.zeros((0, factors)))
     column = table.column("terms").combine_chunks()
     starts = column.offsets.to_numpy().astype(np.int64)
-    terms, at, rows = np.unique(column.values.to_numpy()[starts[0] : starts[-1]], return_inverse=True, return_counts=True)
-    terms, at, starts = _only(terms, at, starts - starts[0], rows >= LEAST)
+    terms, at = np.unique(column.values.to_numpy()[starts[0] : starts[-1]], return_inverse=True)
+    starts = starts - starts[0]
     model = FactorizationMachine(terms.astype(np.int64), bias, np.zeros(len(terms)), rng.normal(0, 0.05, (len(terms), factors)))
-    _fitted(model, at, starts, y, SPARSE, epochs, rng)
+    _fitted(model, at, starts, y, SPARSE, epochs, rng, rare)
     left = (model.weights != 0) | (np.abs(model.vectors).sum(axis=1) > 1e-6)
     terms, at, starts = _only(model.terms, at, starts, left)
     model = FactorizationMachine(terms, model.bias, model.weights[left], model.vectors[left])
-    return _fitted(model, at, starts, y, SLIGHT, epochs, rng)
+    return _fitted(model, at, starts, y, SLIGHT, epochs, rng, rare)
 
 
 def scorer(model: FactorizationMachine):
