@@ -8,6 +8,8 @@ from dispatchlake.functions import fixed
 from dispatchlake.operators import admin, correlate, intervals
 from dispatchlake.plans.places import _DECIDED
 from dispatchlake.plans.registry import query
+from dispatchlake.scratch import folder
+from dispatchlake.streaming import live
 from dispatchlake.views import view
 
 C = F.col
@@ -96,12 +98,14 @@ def q_alive_at(spark, d):
     return alive.groupBy("at").agg(F.count(F.lit(1)).alias("alive"), F.min("incident_id").alias("first_id"), F.countDistinct("incident_type").alias("kinds")).withColumn("at", C("at").cast("timestamp_ntz"))
 
 
-@query(f"""WITH {_REASONS}, k AS (SELECT CASE WHEN reason = 'judged a match' THEN coalesce(xi, ji) WHEN action IN ('UPDATE', 'RESOLVE') THEN ti END AS incident_id, count(*) AS n, max(action) AS action, max(a.ts) AS ts, list(c.unit) FILTER (c.names) AS added, list(c.unit) FILTER (c.clears) AS cleared FROM a JOIN c ON a.chunk_id = c.chunk_id WHERE action IN ('UPDATE', 'RESOLVE') GROUP BY 1),
+_APPLIED = f"""WITH {_REASONS}, k AS (SELECT CASE WHEN reason = 'judged a match' THEN coalesce(xi, ji) WHEN action IN ('UPDATE', 'RESOLVE') THEN ti END AS incident_id, count(*) AS n, max(action) AS action, max(a.ts) AS ts, list(c.unit) FILTER (c.names) AS added, list(c.unit) FILTER (c.clears) AS cleared FROM a JOIN c ON a.chunk_id = c.chunk_id WHERE action IN ('UPDATE', 'RESOLVE') GROUP BY 1),
 o AS (SELECT i.*, k.n, k.action, k.ts, list_filter(list_distinct(list_concat(CASE WHEN two THEN [unit, replace(unit, ':E-', ':L-')] ELSE [unit] END, coalesce(added, []))), lambda u: NOT list_contains(coalesce(cleared, []), u)) AS held FROM i LEFT JOIN k ON i.incident_id = k.incident_id)
 SELECT CAST(incident_id AS STRING) AS incident_id, feed AS feed_id, CASE WHEN action = 'RESOLVE' THEN 'RESOLVED' ELSE 'ACTIVE' END AS status, coalesce(ts, last_updated) AS last_updated, CASE WHEN action = 'RESOLVE' THEN ts END AS resolved_at, array_to_string(list_sort(held), ',') AS units, CAST(coalesce(n, 0) AS INTEGER) AS n_chunks FROM o
-UNION ALL SELECT md5('incident|' || CAST(a.chunk_id AS STRING)), a.feed, 'ACTIVE', a.ts, NULL, CASE WHEN names THEN unit ELSE '' END, 1 FROM a JOIN c ON a.chunk_id = c.chunk_id WHERE action = 'NEW'""")
-def q_decisions_applied(spark, d):
-    """Incidents after a batch: decided against text ids, created, folded in and resolved."""
+UNION ALL SELECT md5('incident|' || CAST(a.chunk_id AS STRING)), a.feed, 'ACTIVE', a.ts, NULL, CASE WHEN names THEN unit ELSE '' END, 1 FROM a JOIN c ON a.chunk_id = c.chunk_id WHERE action = 'NEW'"""
+
+
+def _open_incidents(spark, d):
+    """Chunks and the incidents that they meet, with text ids."""
     calls, cases = _calls_and_cases(spark, d)
     cases = cases.withColumn("incident_id", C("incident_id").cast("string"))
     calls = calls.withColumn("ts", C("ts").cast("timestamp"))
@@ -110,6 +114,27 @@ def q_decisions_applied(spark, d):
         "incident_id", C("i_feed").alias("feed_id"), F.lit("ACTIVE").alias("status"), C("opened_at").cast("timestamp").alias("opened_at"), C("last_updated").cast("timestamp").alias("last_updated"), F.lit(None).cast("timestamp").alias("resolved_at"), C("i_type").alias("incident_type"), F.lit("UNKNOWN").alias("priority"),
         C("i_address").alias("address"), C("i_lat").alias("lat"), C("i_lng").alias("lng"), F.lit(False).alias("is_location_inferred"), C("i_units").alias("units"), none.alias("units_cleared"), F.lit("").alias("summary"), F.array().cast("array<bigint>").alias("chunk_ids"),
     )
-    after = admin.applied(incidents, calls, correlate.decide(calls, cases))
+    return calls, cases, incidents
+
+
+def _after(rows):
     ntz = [C(c).cast("timestamp_ntz").alias(c) for c in ("last_updated", "resolved_at")]
-    return after.select("incident_id", "feed_id", "status", *ntz, F.array_join("units", ",").alias("units"), F.size("chunk_ids").alias("n_chunks"))
+    return rows.select("incident_id", "feed_id", "status", *ntz, F.array_join("units", ",").alias("units"), F.size("chunk_ids").alias("n_chunks"))
+
+
+@query(_APPLIED)
+def q_decisions_applied(spark, d):
+    """Incidents after a batch: decided against text ids, created, folded in and resolved."""
+    calls, cases, incidents = _open_incidents(spark, d)
+    return _after(admin.applied(incidents, calls, correlate.decide(calls, cases)))
+
+
+@query(_APPLIED)
+def q_stream_decisions(spark, d):
+    """The same incidents when the chunks come as a stream, in one batch."""
+    calls, _, incidents = _open_incidents(spark, d)
+    path = folder(spark, "live")
+    calls.write.parquet(f"{path}/chunks")
+    job = live.LiveIncidents(incidents, path, idle_s=None)
+    job.run(spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", 1_000_000).parquet(f"{path}/chunks"), availableNow=True).awaitTermination()
+    return _after(job.now())
