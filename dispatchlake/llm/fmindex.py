@@ -1,7 +1,7 @@
 """Passages that stand in an earlier document, by a compressed FM-index per shard.
 
 Each shard holds whole buckets of pieces (see passages.py). Its words are numbered, the suffixes
-sorted up to a depth beyond the window, and the Burrows-Wheeler transform kept in a wavelet tree
+sorted up to the length of the longest pattern, a window and a stride, and the Burrows-Wheeler transform kept in a wavelet tree
 of bit vectors with block counts. The pieces are streamed through it by backward search, many
 at a time: a window is extended to the left while the interval of its suffixes still holds one
 from a document with a smaller id, which a range minimum over the suffixes' documents tells. The
@@ -55,8 +55,8 @@ class FmIndex:
         rank, h = _ranks(line), 1
         while h < depth and int(rank.max()) < n - 1:
             key, h = longer_keys(rank, h, depth)
-            rank = _ranks(key)
-        order = np.argsort(rank, kind="stable")
+            rank = _ranks(key) if h < depth else key
+        order = np.argsort(rank)
         self.size = n
         self.before = np.concatenate(([0], np.cumsum(np.bincount(line, minlength=top + 1))))
         self.levels: list[tuple[BitVector, int]] = []
@@ -149,7 +149,8 @@ def shard_matches(window: int):
         document = document.astype(np.min_scalar_type(int(document.max())))
         first = np.full(len(pieces), document.max())  # of a piece at two places, the smaller document
         np.minimum.at(first, place, document)
-        fm = FmIndex(line, window, np.repeat(first, sizes + 1))
+        # patterns are as long as all windows of a cursor together: a smaller depth mixes up what follows the first window
+        fm = FmIndex(line, min(window + STRIDE - 1, int(sizes.max())), np.repeat(first, sizes + 1))
         counts, starts = (sizes - window + 1)[place], starts[place]
         cursors = -(-counts // STRIDE)
         own = np.repeat(np.arange(len(place)), cursors)

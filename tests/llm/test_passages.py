@@ -84,6 +84,39 @@ def test_words_match_brute_force(spark, make_docs):
         assert sorted(map(tuple, got), key=str) == want
 
 
+def variants(seed):
+    """Pieces longer than a window that differ just beyond it, in the order of their documents; and the windows that stand in a smaller one."""
+    rng = random.Random(seed)
+    n = rng.randrange(90, 200)
+    base = [f"w{i}" if rng.random() < 0.9 else "c" for i in range(n)]
+    rng.shuffle(base)
+    spots = [s for s in range(rng.randrange(3, 30), n) if rng.random() < 0.04]
+    pieces = []
+    for _ in range(40):
+        row = list(base)
+        for s in spots:
+            row[s] = rng.choice("azq") + str(rng.randrange(3))
+        a = rng.randrange(30)
+        pieces.append(" ".join(row[a : rng.randrange(a + 50, n + 1)]).encode())
+    pieces = list(dict.fromkeys(pieces))
+    rows, place = [(rng.randrange(30), p.split()) for p in pieces], sorted(range(len(pieces)), key=lambda _: rng.random())
+    place = sorted(place, key=lambda k: rows[k][0])
+    first = {}
+    for d, row in [rows[k] for k in place]:
+        for i in range(len(row) - 49):
+            first.setdefault(tuple(row[i : i + 50]), d)
+    want = {(j, i) for j, k in enumerate(place) for i in range(len(rows[k][1]) - 49) if first[tuple(rows[k][1][i : i + 50])] < rows[k][0]}
+    return pieces, np.array(place), np.array([rows[k][0] for k in place]), want
+
+
+def test_shards_of_variants_a_window_apart():
+    """A search that goes on beyond a window must not mix up what differs there."""
+    for seed in (0, 1, 2, 4):
+        pieces, place, dids, want = variants(seed)
+        got = fmindex.shard_matches(50)(pieces, place, dids)
+        assert {(k, i) for k, a, b in got for i in range(a, b + 1)} == want
+
+
 def test_empty_tables(spark, make_docs):
     assert suffix.remove_repeats(make_docs([])).count() == 0
     assert fmindex.remove_earlier_passages(make_docs([])).count() == 0
