@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,7 +61,8 @@ def oversampled(rows: DataFrame, minority: Column, key: str, seed: str = "42", s
     """copy: rows of the minority repeat, in the seeded order, until they are `share` of all; 0 for the first of each."""
     few, many = rows.where(minority), rows.where(~minority)
     counts = rows.agg(_n(minority).alias("_few"), _n(~minority).alias("_many"))
-    target = F.greatest(F.col("_few"), F.floor(F.col("_many") * share / (1 - share)))
+    exact = Decimal(str(share))  # as a double, 39 * 0.35 / 0.65 falls short of 21
+    target = F.greatest(F.col("_few"), F.floor((F.col("_many") * F.lit(exact)).cast("double") / float(1 - exact)))
     few = _nth(few, key, seed).join(F.broadcast(counts), how="inner").withColumn("_target", target)
     times = F.floor((F.col("_target") - F.col("nth") - 1) / F.col("_few"))
     few = few.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), times)))
