@@ -7,7 +7,8 @@ average, more than covering masks can be made for, so a prefix join finds the re
 texts, by how often those with the same leading hash bits occur, then by hash. Two sets that
 share at least 0.8 of their union share a shingle among the first n - ceil(0.8 n) + 1 of each,
 so no pair is missed, whatever the order; the order keeps lines that many
-texts have out of the prefixes. Every pair that counts is compared by its whole sets.
+texts have out of the prefixes. A sketch of each set, 32 times smaller, bounds what two sets share:
+it rules out most pairs, and those that are left are compared by their whole sets.
 
 Texts with equal sets are one. Of the texts under a shingle, those not yet in one component are first compared with
 one of them, so a large group of near copies is linked without all of its pairs; then all pairs
@@ -56,8 +57,19 @@ def _sets(batch: pa.RecordBatch, text: int, number: WordIds, k: int) -> Iterator
         yield at, sets, np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Whether each cell has an odd number of the hashes, as bits of 64-bit words; a power of two of cells, two for each hash or more.
+
+    Two sets differ in as many hashes as their sketches do in bits, at least. The halves of a
+    sketch, one xor the other, are that of half as many cells.
+    """
+    cells = max(64, 1 << (2 * len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
 def _marks(texts: DataFrame, k: int = SHINGLE, bits: int = BITS) -> tuple[DataFrame, np.ndarray]:
-    """(did, tk, node, fp) of each row, its set's hash and fingerprint; and how often shingles with each leading bits occur."""
+    """(did, tk, node, fp, n, cells) of each row, its set's hash, fingerprint, size and sketch; and how often shingles with each leading bits occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, counts = WordIds(word_code), np.zeros(1 << bits, dtype=np.int64)
@@ -66,11 +78,12 @@ def _marks(texts: DataFrame, k: int = SHINGLE, bits: int = BITS) -> tuple[DataFr
                 counts += np.bincount(np.concatenate(sets) >> np.uint64(64 - bits), minlength=1 << bits)
                 fps = np.array([simhash.majority(s) for s in sets], dtype=np.uint64).view(np.int64)
                 keys = [c.slice(at, len(sets)) for c in batch.columns[:2]]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(nodes), pa.array(fps), pa.nulls(len(sets), pa.list_(pa.int64()))], names)
-        yield pa.RecordBatch.from_arrays([*(pa.array([0], pa.int64()) for _ in range(4)), pa.array([counts], pa.list_(pa.int64()))], names)
+                sizes = pa.array([len(s) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(nodes), pa.array(fps), sizes, pa.array([sketch(s) for s in sets], longs), pa.nulls(len(sets), longs)], names)
+        yield pa.RecordBatch.from_arrays([*(pa.array([0], pa.int64()) for _ in range(5)), pa.nulls(1, longs), pa.array([counts], longs)], names)
 
-    names = ["did", "tk", "node", "fp", "counts"]
-    rows = cut(texts.mapInArrow(run, "did long, tk long, node long, fp long, counts array<long>"), "marks")
+    names, longs = ["did", "tk", "node", "fp", "n", "cells", "counts"], pa.list_(pa.int64())
+    rows = cut(texts.mapInArrow(run, "did long, tk long, node long, fp long, n long, cells array<long>, counts array<long>"), "marks")
     each = rows.where("counts is not null").select(F.posexplode("counts").alias("cell", "n")).groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     seen = np.zeros(1 << bits, dtype=np.int64)
     seen[each.column("cell").to_numpy()] = each.column("n").to_numpy()
@@ -133,25 +146,32 @@ def _may_link(a: str, b: str):
     return (p * n <= q * m) & (p * m <= q * n) & ((p + q) * room >= p * (n + m))
 
 
+def _not_apart(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The (x, y) pairs whose sketches leave room for enough in common: a bound, so none that is near goes."""
+    (p, q), c = SHARE, F.col
+    nodes = pairs.select("x").union(pairs.select("y")).distinct().withColumnRenamed("x", "node")
+    told = marks.select("node", "n", "cells").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    side = lambda s: told.select(c("node").alias(s), c("n").alias(f"{s}_n"), c("cells").alias(f"{s}_cells"))
+    xor = lambda a, b: a.bitwiseXOR(b)
+
+    def folded(mine: str, other: str):
+        # sizes that may link are within a factor of two, so one folding makes the sketches equally long
+        half = (F.size(mine) / 2).cast("int")
+        return F.when(F.size(mine) > F.size(other), F.zip_with(F.slice(mine, 1, half), F.slice(mine, half + 1, half), xor)).otherwise(c(mine))
+
+    both = pairs.join(side("x"), "x").join(side("y"), "y").where((p * c("x_n") <= q * c("y_n")) & (p * c("y_n") <= q * c("x_n")))
+    bits = F.zip_with(folded("x_cells", "y_cells"), folded("y_cells", "x_cells"), lambda a, b: F.bit_count(xor(a, b)))
+    apart = F.aggregate(bits, F.lit(0), lambda s, v: s + v)
+    return both.where((p + q) * apart <= (q - p) * (c("x_n") + c("y_n"))).select("x", "y")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The (x, y) pairs whose whole sets are near enough."""
     p, q = SHARE
     side = lambda c: sets.select(F.col("node").alias(c), F.col("hashes").alias(f"{c}_set"))
-    both = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "x_set", "y_set")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = []
-            for c in batch.columns[2:]:
-                flat, places = c.flatten().to_numpy(), np.asarray(c.offsets) - c.offsets[0].as_py()
-                parts.append([flat[i:j] for i, j in zip(places[:-1], places[1:], strict=True)])
-            near = []
-            for a, b in zip(*parts, strict=True):
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                near.append(q * common >= p * (len(a) + len(b) - common))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(near, pa.bool_())) for c in batch.columns[:2]], ["x", "y"])
-
-    return both.mapInArrow(run, "x long, y long")
+    both = pairs.join(side("x"), "x").join(side("y"), "y")
+    common = F.size(F.array_intersect("x_set", "y_set")).cast("long")
+    return both.where((p + q) * common >= p * (F.size("x_set") + F.size("y_set"))).select("x", "y")
 
 
 def _alike(marks: DataFrame, radius: int) -> DataFrame:
@@ -168,11 +188,12 @@ def _alike(marks: DataFrame, radius: int) -> DataFrame:
 def near_links(texts: DataFrame, marks: DataFrame, seen: np.ndarray, radius: int = simhash.RADIUS, once: bool = False) -> DataFrame:
     """(node, root): the components of the distinct sets linked by a Jaccard similarity of at least `SHARE`; once: see `_sets_of`.
 
-    Whole sets are made, shuffled and dropped again for the nodes of one turn's pairs only.
+    Whole sets are made, shuffled and dropped again for the nodes of one turn's pairs only, and
+    only for pairs that their sketches don't tell apart.
     """
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs, "pairs")
+        pairs = cut(_not_apart(pairs, marks), "pairs")
         sets = _sets_of(pairs.select("x").union(pairs.select("y")).distinct().withColumnRenamed("x", "node"), marks, texts, once)
         near = cut(_verified(pairs, sets), "near")
         drop(sets, pairs)

@@ -3,6 +3,8 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+from dispatchlake.llm import neardups
 
 WORDS = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "po") for b in ("ne", "ru", "sa") for c in ("t", "n", "x", "l")]
 
@@ -74,3 +76,23 @@ def test_empty_and_null_ids(spark, make_docs):
     assert corpus_pipeline.keep_first_copies(spark, make_docs([]), "").count() == 0
     got = corpus_pipeline.keep_first_copies(spark, make_docs([(7, "same text here"), (7, "same text here"), (None, "same text here"), (8, "other")]), "").collect()
     assert sorted(str(r.doc_id) for r in got) == ["8", "None"]
+
+
+def test_sketches_rule_out_only_pairs_that_are_apart(spark):
+    """No pair at the threshold goes, whatever the sizes; those well below it go before whole sets are made."""
+    rng = np.random.default_rng(9)
+    rows, near, far = [], set(), set()
+    for i in range(150):
+        n = int(rng.integers(1, 700))
+        a = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        lost = int(rng.integers(0, n + 1)) if i % 2 else n // 5
+        more = rng.integers(0, 1 << 64, int(rng.integers(0, n // 4 + 1)) if i % 3 else 0, dtype=np.uint64)
+        b = np.concatenate((a[lost:], more)) if lost < n or len(more) else a
+        share = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        (near if 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)) else far if share < 0.6 and n > 50 else set()).add((2 * i, 2 * i + 1))
+        rows += [(2 * i + j, len(s), neardups.sketch(s).tolist()) for j, s in enumerate((a, b))]
+    marks = spark.createDataFrame(rows, "node long, n long, cells array<long>")
+    pairs = spark.createDataFrame([(2 * i, 2 * i + 1) for i in range(150)], "x long, y long")
+    kept = set(map(tuple, neardups._not_apart(pairs, marks).collect()))
+    assert len(near) > 30 and near <= kept
+    assert len(far) > 20 and not far & kept
