@@ -146,10 +146,25 @@ def hallucination(rows: DataFrame, said: Column, label: Column) -> DataFrame:
     return t.withColumn("rate", F.coalesce(F.round(F.try_divide("hallucinated", "no_location"), 6), F.lit(0.0)))
 
 
+def with_street_match(rows: DataFrame, said: Column, label: Column, name: str) -> DataFrame:
+    """rows with a column that tells what `text.street_match` does. Streets are parsed once, and each different pair of them is compared once, whatever the number of rows that have it."""
+    c, kept = F.col, rows.columns
+    rows = rows.withColumns({"_said": said, "_label": label})
+    (n1, s1), (n2, s2) = text.street_parts(c("_said")), text.street_parts(c("_label"))
+    rows = rows.withColumns({"_n1": n1, "_s1": s1, "_n2": n2, "_s2": s2})
+    none, differ = text.street_told(c("_said"), c("_label"), c("_n1"), c("_n2"))
+    street = lambda s: F.coalesce(F.when(~(none | differ), c(s)), F.lit(""))
+    rows = rows.withColumns({"_a": street("_s1"), "_b": street("_s2")})
+    pairs = rows.select("_a", "_b").distinct().withColumn("_similar", text.similar(c("_a"), c("_b")))
+    return rows.join(pairs, ["_a", "_b"], "left").select(*kept, F.when(none, c("_said") == c("_label")).otherwise(~differ & c("_similar")).alias(name))
+
+
 def accuracy(rows: DataFrame, said: Column, label: Column, ms: Column | None = None, street: bool = True) -> DataFrame:
     share = lambda test: F.round(F.coalesce(F.avg(test.cast("double")), F.lit(0.0)), 6)
     measures = {"exact": share(text.exact_match(said, label)), "city": share(text.eval_city(said) == text.eval_city(label))}
-    measures |= {"street": share(text.street_match(said, label))} if street else {}
+    if street:
+        rows = with_street_match(rows, said, label, "_street")
+        measures |= {"street": share(F.col("_street"))}
     measures |= {"avg_ms": F.coalesce(F.expr("sum(ms) div count(ms)"), F.lit(0))} if ms is not None else {}
     rows = rows.withColumn("ms", ms) if ms is not None else rows
     return rows.agg(F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in measures.items()])

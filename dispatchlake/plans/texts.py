@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dispatchlake.functions import fixed, score, text
-from dispatchlake.operators import admin
+from dispatchlake.operators import admin, curate
 from dispatchlake.plans.registry import query
 from dispatchlake.views import ORDERS_AS_OF, table, view
 
@@ -179,4 +179,4 @@ def q_street_match(spark, d):
     a, b = street(k), street(F.floor(k / len(_STREETS)))
     said = F.when(form < 2, F.lit(text.NO_LOCATION)).when(form < 5, line(F.lit("17 "), a, ", Detroit, MI")).otherwise(a)
     label = F.when(form == 0, line(F.lit("17 "), b, "")).when(form == 1, F.lit(text.NO_LOCATION)).when(form == 2, line(F.lit("18 "), b, ", Troy")).when(form < 5, line(F.lit(" 17  "), b, "")).when(form == 5, line(F.lit("5 "), b, ", Troy")).otherwise(b)
-    return view(spark, d, "v_addr").select("k", text.street_match(said, label).alias("match"))
+    return curate.with_street_match(view(spark, d, "v_addr").select("k"), said, label, "match")
