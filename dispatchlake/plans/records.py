@@ -276,8 +276,7 @@ _KM = "(2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(s.lat - p.lat) / 2), 2
 def q_nearest_incident(spark, d):
     chunks = view(spark, d, "v_points").select(C("k").alias("chunk_id"), "lat", "lng", F.when(C("k") % 3 == 0, "LOW").otherwise("HIGH").alias("confidence"), (C("k") % 5).alias("feed_id"))
     open_ = view(spark, d, "v_stations").select(C("k").alias("incident_id"), C("lat").alias("r_lat"), C("lng").alias("r_lng"), (C("k") % 5).alias("i_feed"))
-    pairs = spatial.within_radius(chunks, open_, 6.0)
-    one, two = (records.nearest_incident(pairs, same).select(F.lit(not same).alias("any_feed"), "chunk_id", "incident_id", F.round("km", 6).alias("km")) for same in (False, True))
+    one, two = (records.nearest_incident(chunks, open_, 6.0, same).select(F.lit(not same).alias("any_feed"), "chunk_id", "incident_id", F.round("km", 6).alias("km")) for same in (False, True))
     return one.union(two)
 
 
