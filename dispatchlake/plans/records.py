@@ -146,8 +146,8 @@ def q_layer_frames(spark, d):
     point = lambda k: F.struct(F.lit("Feature").alias("type"), F.create_map(F.lit("Firehouse"), k.cast("string")).alias("properties"), F.struct(F.lit("Point").alias("type"), F.array(F.lit(-83.0), F.lit(42.0)).alias("coordinates")).alias("geometry"))
     ring = F.array(F.array(F.array(F.lit(0.0), F.lit(0.0)), F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(1.0))))
     area = lambda k: F.struct(F.lit("Feature").alias("type"), F.create_map(F.lit("name"), k.cast("string")).alias("properties"), F.struct(F.lit("Polygon").alias("type"), ring.alias("coordinates")).alias("geometry"))
-    for name, rows in (("stations", table(spark, d, "supplier").select(point(C("s_suppkey")).alias("f"))), ("precincts", table(spark, d, "nation").select(area(C("n_nationkey")).alias("f")))):
-        rows.agg(F.collect_list("f").alias("features")).write.json(f"{path}/{name}.geojson")
+    sinks.write_layer(table(spark, d, "supplier").select(C("s_suppkey").alias("k"), point(C("s_suppkey")).alias("f")), "k", f"{path}/stations.geojson")
+    sinks.write_layer(table(spark, d, "nation").select(C("n_nationkey").alias("k"), area(C("n_nationkey")).alias("f")), "k", f"{path}/precincts.geojson")
     found = [f.agg(F.lit(n).alias("layer"), F.count(F.lit(1)).alias("n")) for n, f in layers.layer_frames(spark, path).items()]
     return found[0].union(found[1]).union(found[2]).union(found[3])
 

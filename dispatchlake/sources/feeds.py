@@ -10,7 +10,7 @@ from dispatchlake.functions import fixed, geo, text
 
 CHUNK = "feed_id string, chunk_path string, timestamp double, transcript string"
 FEED = "feed_id string, name string, county string, broadcast_id string, test_url string, enabled boolean"
-_FEATURE = "features array<struct<type: string, properties: map<string, string>, geometry: struct<type: string, coordinates: string>>>"
+_FEATURE = "first int, features array<struct<type: string, properties: map<string, string>, geometry: struct<type: string, coordinates: string>>>"
 
 
 def enabled_feeds(feeds: DataFrame) -> DataFrame:
@@ -24,14 +24,18 @@ def with_stream_url(feeds: DataFrame, pattern: str) -> DataFrame:
 
 
 def geojson(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, properties, kind, coordinates as JSON text) of a layer's features; a missing file has none."""
+    """(ord, properties, kind, coordinates as JSON text) of a layer's features; a missing file has none.
+
+    A layer is one file, or a folder of files (see `sinks.write_layer`), each of which tells by `first` how its features are numbered.
+    """
     try:
-        files = spark.read.schema(_FEATURE).option("multiLine", True).json(path)
+        # as text: the reader of JSON goes back to the file for each nested value that is kept as text
+        files = spark.read.text(path, wholetext=True).select(F.from_json("value", _FEATURE).alias("layer")).select("layer.*")
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         files = spark.createDataFrame([], _FEATURE)
-    each = files.select(F.posexplode("features").alias("ord", "f"))
+    each = files.select("first", F.posexplode("features").alias("pos", "f")).withColumn("ord", F.coalesce("first", F.lit(0)) + F.col("pos"))
     return each.select("ord", "f.properties", F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("coordinates"))
 
 

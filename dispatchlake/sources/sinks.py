@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from dispatchlake.functions import fixed, geo
 
+#: features in a file of a layer
+LAYER_FILE = 10_000
+
 
 def events(rows: DataFrame, event: str, key: str, ts: str) -> DataFrame:
     """(event_uuid, event, ts, payload): the same row gives the same id, so replays can be told."""
@@ -56,6 +59,17 @@ def features(rows: DataFrame) -> DataFrame:
     return placed.select(F.lit("Feature").alias("type"), F.struct(F.lit("Point").alias("type"), F.array("lng", "lat").alias("coordinates")).alias("geometry"), props.alias("properties"))
 
 
+def write_layer(rows: DataFrame, key: str, path: str, most: int = LAYER_FILE) -> None:
+    """Write features (key, a whole number from 0 on, each once; f) as a folder of GeoJSON files, each a collection of at most `most` features by key.
+
+    A file is read by one task, and a collection is one row: so neither grows with the layer. `feeds.geojson` reads the folder as one layer.
+    """
+    part = F.floor(F.col(key) / most)
+    kept = F.array_sort(F.collect_list(F.struct(F.col(key).alias("_k"), F.to_json("f").alias("f"))))
+    made = F.concat(F.lit('{"type":"FeatureCollection","first":'), F.format_string("%d", F.col("_part") * most), F.lit(',"features":['), F.array_join(F.transform("_all", lambda x: x["f"]), ","), F.lit("]}"))
+    rows.groupBy(part.alias("_part")).agg(kept.alias("_all")).select(made.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+
+
 def micro_batch_writer(incidents_path: str, chunks_path: str):
     """For foreachBatch: new incidents first, then the chunks that refer to them, under the batch's number."""
 
