@@ -43,7 +43,7 @@ def _index_vectors(buckets: int = BUCKETS, seed: int = 10) -> tuple[np.ndarray,
 class Buckets:
     """Numbers the tokens of texts; remembers the latest."""
 
-    def __init__(self, buckets: int = BUCKETS, bound: int = 400_000) -> None:
+    def __init__(self, buckets: int = BUCKETS, bound: int = 100_000) -> None:
         self.buckets, self.bound, self.known = buckets, bound, {}
 
     def __call__(self, text: str | None) -> np.ndarray:

@@ -85,7 +85,7 @@ def _leading(known: np.ndarray) -> np.ndarray:
 class Canon:
     """Canonical tokens of texts; remembers the traits of the latest words."""
 
-    def __init__(self, bound: int = 400_000) -> None:
+    def __init__(self, bound: int = 100_000) -> None:
         self.bound, self.known = bound, {}
         self.codes, self.flags, self.plain = array("Q"), array("B"), array("Q")
 

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import pyarrow as pa
 from dispatchlake.llm import quality
 
 from tests.llm.test_neardups import plain_firsts
@@ -106,3 +107,10 @@ def test_run_on_an_empty_table(spark, make_docs, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    rows = spark.range(2000, numPartitions=1).selectExpr("id as doc_id", "repeat('word ', 2000) as text")
+    corpus_pipeline.drop_benchmark(spark, rows, "/root/testdata/sf0.001")
+    sizes = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long")
+    assert max(r.n for r in sizes.collect()) <= 8 << 20
