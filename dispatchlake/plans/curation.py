@@ -8,8 +8,8 @@ from dispatchlake.functions import text
 from dispatchlake.operators import curate
 from dispatchlake.operators import relational as rel
 from dispatchlake.plans.registry import query
-from dispatchlake.scratch import run_stream
-from dispatchlake.streaming import jobs
+from dispatchlake.scratch import folder, run_stream
+from dispatchlake.streaming import jobs, regions
 from dispatchlake.views import table, view
 
 C = F.col
@@ -157,7 +157,9 @@ l AS (SELECT r, t, run, min(inc) AS inc, min(ts) AS began, max(ts) AS ended, cou
 SELECT CAST(r AS STRING) AS region, inc AS incident_id, event_id AS chunk_id, CASE WHEN fresh = 1 THEN 'NEW' ELSE 'UPDATE' END AS action, n AS n_chunks FROM m UNION ALL SELECT CAST(y.r AS STRING), inc, e.event_id, 'RESOLVE', n FROM y ASOF JOIN e ON y.r = e.r AND y.due < e.ts""")
 def q_stream_incidents(spark, d):
     rows = _event_stream(spark, d).select((C("user_id") % 4).cast("string").alias("region"), C("event_id").alias("chunk_id"), "ts", C("event_type").alias("incident_type"))
-    return run_stream(jobs.open_incidents(rows, idle_s=7200, join_s=1800), "incidents")
+    open_ = regions.OpenIncidents(spark, folder(spark, "incidents"), idle_s=7200, join_s=1800)
+    open_.run(rows, availableNow=True).awaitTermination()
+    return open_.rows().withColumn("n_chunks", C("n_chunks").cast("int"))
 
 
 @query("""WITH c AS (SELECT concat('feed_', CAST(user_id % 17 AS STRING)) AS feed_id, event_type AS incident_type, event_id AS chunk_id, ts FROM events),

@@ -1,11 +1,11 @@
 """Keyed streams against plain Python over the same events."""
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pandas as pd
 
 from dispatchlake.plans.curation import q_stream_incidents, q_stream_retry
-from dispatchlake.streaming import jobs
+from dispatchlake.streaming import jobs, regions
 from dispatchlake.views import table
 
 DIR = "/root/testdata/sf0.001"
@@ -54,6 +54,30 @@ def test_open_incidents(spark):
     assert sorted(tuple(r) for r in q_stream_incidents(spark, DIR).collect()) == sorted(want)
 
 
+def test_open_incidents_go_on_from_batch_to_batch(spark, tmp_path):
+    events = table(spark, DIR, "events").selectExpr("cast(user_id % 4 as string) as region", "event_id as chunk_id", "ts", "event_type as incident_type")
+    want = sorted(tuple(r) for r in q_stream_incidents(spark, DIR).collect())
+    cuts = ["2023-01-01", "2024-01-03 10:20:00", "2024-01-03 10:50:00", "2024-01-19", "2025-01-01"]
+    one = regions.OpenIncidents(spark, str(tmp_path / "one"), idle_s=7200, join_s=1800)
+    for n, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        for _ in range(1 + (n == 2)):  # a batch that comes again counts once
+            one.take(events.where(f"ts >= '{a}' and ts < '{b}'"), n)
+    assert sorted(tuple(r) for r in one.rows().collect()) == want
+
+
+def test_a_region_is_dealt_to_several_tasks(spark):
+    rows = spark.range(400).selectExpr("'r' as region", "'t' as incident_type", "id * 1200000000 as at", "id as chunk_id", "id as start", "1L as n", "cast(null as timestamp) as held")
+    rows = rows.withColumn("stretch", regions._stretch(rows["at"]))
+    held = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        told = regions._in_runs(rows, 1_800_000_000).selectExpr("*", "spark_partition_id() as task").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", held)
+    assert {r.incident_id for r in told} == {0} and sorted(r.n for r in told) == list(range(1, 401))
+    assert max(Counter(r.task for r in told).values()) < 200
+
+
 def test_lives_end_by_themselves_in_batches_of_any_size_and_after_a_restart(spark, tmp_path):
     schema = "feed_id string, incident_type string, chunk_id long, ts timestamp"
     rows = spark.read.parquet(f"{DIR}/events.parquet").selectExpr("concat('f', user_id % 3) as feed_id", "event_type as incident_type", "event_id as chunk_id", "cast(ts as timestamp) as ts").toPandas().sort_values("ts").reset_index(drop=True)
