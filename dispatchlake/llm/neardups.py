@@ -11,8 +11,9 @@ texts have out of the prefixes. A sketch of each set, 32 times smaller, bounds w
 it rules out most pairs, and those that are left are compared by their whole sets.
 
 Texts with equal sets are one. Of the texts under a shingle, those not yet in one component are first compared with
-one of them, so a large group of near copies is linked without all of its pairs; then all pairs
-that are still not in one component are.
+one of them: the one with the fewest shingles of its own in its prefix, for of a large group of near copies that
+lies between the others, and is near to those that are far from each other. So the group is linked without all of its pairs; then all pairs
+that are still not in one component are compared.
 """
 
 from __future__ import annotations
@@ -204,7 +205,9 @@ def near_links(texts: DataFrame, marks: DataFrame, seen: np.ndarray, radius: int
     by = Window.partitionBy("h").orderBy("n", "node")
     rows = _prefixes(texts, seen).withColumn("again", F.lag("node").over(by) == F.col("node")).where("again is null or not again")
     members = rows.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("k > 1").select("h", "node", "n", "pos")
-    members = cut(members, "shared")
+    # how many of a set's prefix no other has: least in the middle of a group of near copies
+    (p, q), shared = SHARE, F.count(F.lit(1)).over(Window.partitionBy("node"))
+    members = cut(members.withColumn("alone", F.floor(F.col("n") * (q - p) / q) + 1 - shared), "shared")
     edges = verified(alike)
     roots = cut(components(edges), "roots")
     for turn in range(ROUNDS + 1):
@@ -212,7 +215,7 @@ def near_links(texts: DataFrame, marks: DataFrame, seen: np.ndarray, radius: int
         open_ = rooted.groupBy("h").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("h")
         rooted = cut(rooted.join(open_, "h"), "open")
         if turn < ROUNDS:
-            one = rooted.groupBy("h").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "pos", "root")).alias("m")).select("h", "m.*")
+            one = rooted.groupBy("h").agg(F.min(F.struct(F.col("alone") / F.col("n"), F.xxhash64("node", F.lit(turn)), "node", "n", "pos", "root")).alias("m")).select("h", "m.*")
         else:
             one = rooted
         pairs = rooted.alias("a").join(one.alias("b"), "h").where(F.col("a.root") != F.col("b.root")).where(_may_link("a", "b"))

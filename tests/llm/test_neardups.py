@@ -96,3 +96,23 @@ def test_sketches_rule_out_only_pairs_that_are_apart(spark):
     kept = set(map(tuple, neardups._not_apart(pairs, marks).collect()))
     assert len(near) > 30 and near <= kept
     assert len(far) > 20 and not far & kept
+
+
+def test_copies_near_to_one_text_only_are_linked_without_all_their_pairs(spark, make_docs, monkeypatch):
+    """Copies that are far from each other but near to the text between them: pairs grow with the copies, not with their square."""
+    rng, pairs = random.Random(12), []
+    base = [f"w{i}" for i in range(150)]
+    texts = [base]
+    for i in range(300):
+        copy = list(base)
+        for k, at in enumerate(rng.sample(range(5, 145, 10), 3)):
+            copy[at] = f"own{i}x{k}"
+        texts.append(copy)
+    rng.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    bound = neardups._not_apart
+    monkeypatch.setattr(neardups, "_not_apart", lambda found, marks: pairs.append(found.count()) or bound(found, marks))
+    got = corpus_pipeline.keep_first_copies(spark, make_docs(rows), "").collect()
+    want, links = plain_firsts(rows)
+    assert {r.doc_id for r in got} == want == {0}
+    assert links >= 300 and sum(pairs) < 10 * len(rows)
