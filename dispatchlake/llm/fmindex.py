@@ -26,6 +26,10 @@ SHARD_BYTES = 1 << 20
 STRIDE = 32
 
 
+#: for each bit of a word the bits below it
+_BELOW = np.array([(1 << k) - 1 for k in range(64)], dtype=np.uint64)
+
+
 class BitVector:
     """Bits in 64-bit words with the count of ones before each word."""
 
@@ -38,8 +42,7 @@ class BitVector:
     def ones(self, i: np.ndarray) -> np.ndarray:
         """Ones before each place."""
         word = i >> 6
-        below = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[word] + np.bitwise_count(self.words[word] & below)
+        return self.before[word] + np.bitwise_count(self.words[word] & _BELOW[i & 63])
 
 
 class FmIndex:
@@ -70,9 +73,10 @@ class FmIndex:
         self.least = None if document is None else RangeLeast(document[order])
 
     def _down(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
-        for k, (vector, zeros) in enumerate(self.levels):
+        bits = (symbol >> np.arange(len(self.levels))[::-1, None] & 1).astype(bool)
+        for (vector, zeros), bit in zip(self.levels, bits, strict=True):
             ones = vector.ones(i)
-            i = np.where(symbol >> (len(self.levels) - 1 - k) & 1, zeros + ones, i - ones)
+            i = np.where(bit, ones + zeros, i - ones)
         return i
 
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,19 +125,6 @@ class RangeLeast:
         return out
 
 
-def _matched(fm: FmIndex, line: np.ndarray, end: np.ndarray, size: np.ndarray, below: np.ndarray) -> np.ndarray:
-    """How many symbols before each end, `size` at most, stand together in a document below the given one: matching statistics."""
-    lo, hi = np.zeros(len(end), dtype=np.int64), np.full(len(end), fm.size, dtype=np.int64)
-    reached, active = np.zeros(len(end), dtype=np.int64), np.arange(len(end))
-    while len(active):
-        lo, hi = fm.extend(line[end[active] - reached[active] - 1], lo, hi)
-        on = fm.least(lo, hi) < below[active]
-        reached[active[on]] += 1
-        on &= reached[active] < size[active]
-        active, lo, hi = active[on], lo[on], hi[on]
-    return reached
-
-
 def shard_matches(window: int):
     """An index for passages.repeated: windows of a shard's pieces that stand in a smaller document of it."""
 
@@ -158,19 +149,35 @@ def shard_matches(window: int):
         stop = np.minimum(at + STRIDE, counts[own])
         windows = np.cumsum(counts) - counts
         edges = np.zeros(counts.sum() + 1, dtype=np.int64)  # where found ranges begin and end
-        whole = np.ones(len(at), dtype=bool)
+        # a cursor's search: all its windows as one pattern, or, where that failed, its first window. All searches
+        # go on together, each cursor's next as soon as its last has ended, so that few steps have few cursors;
+        # those with the same interval and the same next symbol are one `state`, and the last state is that of no symbol
+        whole, size = np.ones(len(at), dtype=bool), stop - 1 - at + window
+        reached, below, tail = np.zeros(len(at), dtype=np.int64), document[own], starts[own] + at + size
+        lo, hi, state, base = np.zeros(1, dtype=np.int64), np.full(1, fm.size), np.zeros(len(at), dtype=np.int64), len(number) + 1
         while len(at):
-            # all windows of a cursor as one pattern, or, where that failed, its first window
-            size = np.where(whole, stop - 1 - at, 0) + window
-            end = at + size
-            reached = _matched(fm, line, starts[own] + end, size, document[own])
-            full = np.flatnonzero(reached >= window)
-            np.add.at(edges, windows[own[full]] + end[full] - reached[full], 1)
-            np.add.at(edges, windows[own[full]] + end[full] - window + 1, -1)
-            left = end - reached
-            at, stop, whole = np.where(whole, at, np.where(reached >= window, at + 1, left)), np.where(whole, np.minimum(left, stop - 1), stop), ~whole & (reached >= window)
-            more = at < stop
-            own, at, stop, whole = own[more], at[more], stop[more], whole[more]
+            each, state = np.unique(state * base + line[tail - reached - 1], return_inverse=True)
+            was, symbol = np.divmod(each, base)
+            lo, hi = fm.extend(symbol, lo[was], hi[was])
+            on = fm.least(lo, hi)[state] < below
+            lo, hi = np.append(lo, 0), np.append(hi, fm.size)
+            reached += on
+            ended = np.flatnonzero(~on | (reached == size))
+            if len(ended):
+                r, z, x, w, u = reached[ended], size[ended], at[ended], whole[ended], own[ended]
+                end = x + z
+                full = r >= window
+                np.add.at(edges, windows[u[full]] + (end - r)[full], 1)
+                np.add.at(edges, windows[u[full]] + end[full] - window + 1, -1)
+                left = end - r
+                at[ended], stop[ended] = np.where(w, x, np.where(full, x + 1, left)), np.where(w, np.minimum(left, stop[ended] - 1), stop[ended])
+                whole[ended] = ~w & full
+                size[ended] = np.where(whole[ended], stop[ended] - 1 - at[ended], 0) + window
+                reached[ended], state[ended] = 0, len(each)
+                tail[ended] = starts[u] + at[ended] + size[ended]
+                more = at < stop
+                if not more.all():
+                    own, at, stop, whole, size, reached, below, tail, state = (v[more] for v in (own, at, stop, whole, size, reached, below, tail, state))
         hit = np.flatnonzero(np.cumsum(edges[:-1]) > 0)
         of = np.searchsorted(windows, hit, side="right") - 1
         return _ranges(np.ones(len(hit), dtype=bool), of, hit - windows[of])

@@ -117,6 +117,17 @@ def test_shards_of_variants_a_window_apart():
         assert {(k, i) for k, a, b in got for i in range(a, b + 1)} == want
 
 
+def test_equal_searches_go_through_the_index_once(monkeypatch):
+    """Copies with a word of their own in front: what they have in common is searched for once, not for each."""
+    common, steps = [f"w{i}" for i in range(120)], []
+    pieces = [" ".join([f"own{k}", *common]).encode() for k in range(100)]
+    extend = fmindex.FmIndex.extend
+    monkeypatch.setattr(fmindex.FmIndex, "extend", lambda fm, symbol, lo, hi: steps.append(len(lo)) or extend(fm, symbol, lo, hi))
+    got = fmindex.shard_matches(50)(pieces, np.arange(100), np.arange(100))
+    assert got == [(k, 1, 71) for k in range(1, 100)]
+    assert sum(steps) < 100 * len(pieces)
+
+
 def test_empty_tables(spark, make_docs):
     assert suffix.remove_repeats(make_docs([])).count() == 0
     assert fmindex.remove_earlier_passages(make_docs([])).count() == 0
